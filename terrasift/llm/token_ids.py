@@ -44,8 +44,8 @@ from terrasift.llm import _common as C
 MAGIC = b"TSID"
 #: Bytes of ids in a block, unless one document has more.
 BLOCK_BYTES = 8 << 20
-#: Distinct pieces that a worker remembers.
-MEMORY = 800_000
+#: Distinct words that a worker remembers: those of the current generation and as many of the last.
+MEMORY = 600_000
 _SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 
 # ------------------------------------------------------------- Elias-Fano
@@ -150,8 +150,9 @@ class Encoder:
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.lengths[i] = len(token)  # byte-level: one character for each byte
-        self.known: dict[str, bytes] = {}  # by pre-token
+        self.known: dict[str, bytes] = {}  # pre-tokens that no space starts, and first words
         self.after: dict[str, bytes | bool] = {}  # by what follows a space; False: not a piece of its own
+        self.older: dict[str, bytes | bool] = {}  # the generation before
         # where the byte-level pre-tokenizer cuts
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
 
@@ -194,15 +195,20 @@ class Encoder:
             return [" " + x[:-1], x[-1]]
         return self.cut(" " + x)
 
-    def _learn(self, parts: list[str]) -> dict[str, bytes | bool]:
-        known = self.known
-        if len(known) > MEMORY:
-            known.clear()
+    def _learn(self, parts: list[str]) -> None:
+        """Put the parts, and the words that they are made of, into ``after``."""
+        after, known = self.after, self.known
         cuts = {x: self._cuts(x) if self._alone(x) else [] for x in parts}
-        fresh = list({t for c in cuts.values() for t in c if t not in known})
-        known.update(zip(fresh, self._encode_many(fresh), strict=True))
-        get = known.__getitem__
-        return {x: b"".join(map(get, c)) if c else False for x, c in cuts.items()}
+        tokens = {t for c in cuts.values() for t in c}
+        own = {t for t in tokens if t[0] == " " and self._alone(t[1:])}
+        led = [t for t in own if t[1:] not in after]
+        rest = [t for t in tokens if t not in own and t not in known]
+        after.update(zip([t[1:] for t in led], self._encode_many(led), strict=True))
+        known.update(zip(rest, self._encode_many(rest), strict=True))
+        of = lambda t: after[t[1:]] if t in own else known[t]
+        for x, c in cuts.items():
+            if len(c) != 1:
+                after[x] = b"".join(map(of, c)) if c else False
 
     def _whole(self, text: str) -> bytes:
         """Without cutting at spaces."""
@@ -230,11 +236,18 @@ class Encoder:
             missing = [x for x, ids in here.items() if ids is None]
             if missing:
                 if len(self.after) + len(missing) > MEMORY:
-                    self.after.clear()
-                fresh = self._learn(missing)
-                self.after.update(fresh)
-                here.update(fresh)
+                    self.older, self.after = self.after, {}
+                old = {x: ids for x in missing if (ids := self.older.get(x)) is not None}
+                self.after.update(old)
+                if len(old) < len(missing):
+                    self._learn([x for x in missing if x not in old])
+                here.update((x, self.after[x]) for x in missing)
+            if len(self.known) > MEMORY:
+                self.known.clear()
             get = here.__getitem__
+            # first parts have no space before them
+            heads = list({x[0] for x in split if x and x[0] not in self.known})
+            self.known.update(zip(heads, self._encode_many(heads), strict=True))
             for parts in split:
                 if parts is None:
                     out.append(stop)
@@ -247,7 +260,7 @@ class Encoder:
                 except TypeError:  # a False among them
                     out.append(self._odd(parts, here) + stop)
                 else:
-                    out.append(self._whole(parts[0]) + rest + stop)
+                    out.append(self.known[parts[0]] + rest + stop)
         return out
 
 
