@@ -14,8 +14,11 @@ stands at its exact place. The score is the best candidate's share of its
 template's IDF weight that the file holds in place (1 if a base phrase is there
 and no template does better).
 
-Everything happens inside the row, so nothing is shuffled but the word counts.
-Only rows that hold some key phrase are split into words; that test is exact.
+One pass over the texts splits each once and writes its number of words, the
+template words that it holds, and, only for rows that hold some key phrase, all its
+words; that test is exact. Document frequencies and places come from that table.
+Everything happens inside the row, so nothing is shuffled but the word counts;
+votes are sorted, so a row costs n log n in its places.
 
 A null text is empty: no words, no labels, score 0. Repeated rows are reported
 each. Extra columns are ignored.
@@ -28,6 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrasift.llm import _common as C
 from terrasift.llm.line_dedup import LOWER, UPPER
 
 #: Phrases of the base rule and their labels.
@@ -53,7 +57,6 @@ TEMPLATES = [
 
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_COUNT = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _text() -> Column:
@@ -72,14 +75,38 @@ def vocabulary(templates=TEMPLATES) -> list[str]:
     return sorted({w for _, t, _ in templates for w in t.split()})
 
 
-def word_idf(docs: DataFrame, templates=TEMPLATES) -> dict[str, float]:
-    """IDF of the template words (a bounded list) over all documents."""
+def _maybe(phrases: list[str]) -> Column:
+    """Whether all words of some phrase are in the lower-cased text ``low``: necessary for the gate, and cheap."""
+    test = F.lit(False)
+    for phrase in phrases:
+        every = F.lit(True)
+        for w in sorted(set(phrase.split()), key=lambda w: (-len(w), w)):
+            every &= F.col("low").contains(w)
+        test |= every
+    return test
+
+
+def scanned(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
+    """Per row: doc_id, n_words, held (its template words), w (all its words, if it holds a key phrase; else empty)."""
+    phrases = [*base, *[key for _, _, key in templates]]
     vocab = F.array(*[F.lit(w) for w in vocabulary(templates)])
-    split = F.split(F.lower(_text()), _SPLIT, -1)
-    held = docs.select(F.array_intersect(split, vocab).alias("held"))
-    counts = held.agg(F.count("*").alias("n"), *[F.count_if(F.array_contains("held", w)).alias(f"w{i}") for i, w in enumerate(vocabulary(templates))]).first()
-    n = counts["n"]
-    return {w: math.log((n + 1) / (counts[f"w{i}"] + 0.5)) for i, w in enumerate(vocabulary(templates))}
+    # lower() may turn a non-ASCII letter into an ASCII one; both are word characters, so the count is that of the text
+    low = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text().alias("text"), F.lower(_text()).alias("low"))
+    split = low.withColumn("every", F.split("low", _SPLIT, -1))
+    ends = [F.when(F.get("every", F.lit(0)) == "", 1).otherwise(0), F.when((F.size("every") > 1) & (F.element_at("every", -1) == ""), 1).otherwise(0)]
+    return split.select(
+        "doc_id",
+        (F.size("every") - ends[0] - ends[1]).cast("long").alias("n_words"),
+        F.array_intersect("every", vocab).alias("held"),
+        F.when(_maybe(phrases) & F.col("text").rlike(_gate(phrases)), words_of(F.col("text"))).otherwise(F.array().cast("array<string>")).alias("w"),
+    )
+
+
+def word_idf(scan: DataFrame, templates=TEMPLATES) -> dict[str, float]:
+    """IDF of the template words (a bounded list) over all documents; the empty word counts the documents."""
+    counts = scan.select(F.explode(F.concat("held", F.array(F.lit("")))).alias("word")).groupBy("word").count()
+    found = {r["word"]: r["count"] for r in counts.collect()}
+    return {w: math.log((found.get("", 0) + 1) / (found.get(w, 0) + 0.5)) for w in vocabulary(templates)}
 
 
 def _places(words: str, phrase: str) -> Column:
@@ -95,14 +122,8 @@ def _key_place(template: str, key: str) -> int:
 
 def license_scan(docs: DataFrame, templates=TEMPLATES, base=BASE, rare: int = 8, votes: int = 2) -> DataFrame:
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    idf = word_idf(docs, templates)
-    gate = _gate([*base, *[key for _, _, key in templates]])
-    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text().alias("text"))
-    d = raw.select(
-        "doc_id",
-        F.regexp_count("text", F.lit(_COUNT)).cast("long").alias("n_words"),
-        F.when(F.col("text").rlike(gate), words_of(F.col("text"))).otherwise(F.array().cast("array<string>")).alias("w"),
-    )
+    d = C.materialize(scanned(docs, templates, base), "licences")
+    idf = word_idf(d, templates)
     # base places
     phrases = list(base)
     for k, p in enumerate(phrases):
@@ -120,12 +141,16 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, base=BASE, rare: int = 8,
     postings = F.create_map(*[x for w in ranked for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in posting[w]]))])
     looked = F.slice(F.array_intersect(ordered, "w"), 1, rare)
     d = d.withColumn("rare", looked)
-    spots = F.expr("filter(transform(w, (x, i) -> struct(x as x, i as i)), s -> array_contains(rare, s.x))")
+    # rare and cast are bound by a one-element transform; inlined into the inner lambdas they would be made anew for each word
+    spots = F.expr("get(transform(array(rare), r -> filter(transform(w, (x, i) -> struct(x as x, i as i)), s -> array_contains(r, s.x))), 0)")
     d = d.withColumn("spots", spots).withColumn("postings", postings)
+    # a vote is template * 2^32 + start; sorted, a start with enough votes begins a long enough run
     d = d.withColumn(
-        "cast", F.expr("flatten(transform(spots, s -> transform(postings[s.x], q -> struct(q.t as t, cast(s.i - q.p as int) as at))))")
+        "cast", F.expr("sort_array(flatten(transform(spots, s -> transform(postings[s.x], q -> q.t * 4294967296L + s.i - q.p))))")
     ).drop("spots", "postings")
-    d = d.withColumn("candidates", F.expr(f"filter(array_distinct(cast), c -> size(filter(cast, v -> v = c)) >= {votes})")).drop("cast")
+    runs = f"get(transform(array(cast), c -> filter(c, (v, i) -> coalesce(get(c, i + {votes - 1}) = v, false) and not coalesce(get(c, i - 1) = v, false))), 0)"
+    start = "transform(runs, v -> struct(cast(shiftright(v + 2147483648L, 32) as int) as t, cast(v - shiftright(v + 2147483648L, 32) * 4294967296L as int) as at))"
+    d = d.withColumn("runs", F.expr(runs)).drop("cast").withColumn("candidates", F.expr(start)).drop("runs")
     # mandatory key phrases at their places, and the share of the template's weight in place
     tables = F.array(
         *[
