@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -98,13 +100,87 @@ def paired_verdict(lo: Column, hi: Column) -> Column:
     return F.when(lo > 0, "SEPARATES").when(hi < 0, "wrong sign").otherwise("no separation")
 
 
+def study(rows: DataFrame, most: int = 200_000) -> pd.DataFrame:
+    """A matching study's table (uid, area) on the driver; one of more than ``most`` rows is refused, never cut."""
+    held = rows.limit(most + 1).toPandas()
+    if len(held) > most:
+        raise ValueError(f"a matching study holds at most {most} rows")
+    return held
+
+
+def _pool(negatives: pd.DataFrame, used=()) -> pd.DataFrame:
+    """Negatives with an area, not used yet, in their order."""
+    return negatives[(negatives["area"] > 0) & ~negatives["uid"].isin(list(used))]
+
+
 def greedy_match(positives: pd.DataFrame, negatives: pd.DataFrame) -> pd.DataFrame:
-    """1:1 pairs, each positive in order taking the free negative of nearest log area (bounded study tables)."""
-    left = dict(zip(negatives["uid"], np.log(negatives["area"]), strict=True))
+    """negative, positive: each positive, by ascending area, takes the free negative of nearest log area (ties: smaller uid).
+
+    Free negatives stand in one queue for each distinct area, and emptied queues are skipped by path
+    compression, so n positives and m negatives take about (n + m) log m steps.
+    """
+    queues = _pool(negatives).sort_values("uid", ascending=False).groupby("area")["uid"].agg(list)
+    logs, free = np.log(queues.index.to_numpy(dtype=float)), queues.tolist()
+    skip = {-1: list(range(len(free) + 1)), 1: list(range(len(free) + 1))}
+
+    def nearest(at: int, step: int) -> int:
+        """The first queue with members from ``at`` on, in the direction of ``step``; -1 or len(free) if none."""
+        path, to = [], skip[step]
+        while 0 <= at < len(free) and not free[at]:
+            path.append(at)
+            at = to[at] if to[at] != at else at + step
+        for k in path:
+            to[k] = at
+        return at
+
     out = []
-    for uid, area in zip(positives["uid"], np.log(positives["area"]), strict=True):
-        if left:
-            best = min(left, key=lambda u: (abs(left[u] - area), u))
-            out.append((best, uid))
-            del left[best]
-    return pd.DataFrame(out, columns=["negative", "positive"])
+    for uid, area in positives[positives["area"] > 0].sort_values("area", kind="stable")[["uid", "area"]].itertuples(index=False):
+        x = np.log(area)
+        at = int(np.searchsorted(logs, x))
+        near = [k for k in (nearest(at - 1, -1), nearest(at, 1)) if 0 <= k < len(free)]
+        if not near:
+            break
+        best = min(near, key=lambda k: (abs(logs[k] - x), free[k][-1]))
+        out.append((free[best].pop(), uid))
+    return pd.DataFrame(out, columns=["negative", "positive"], dtype=object)
+
+
+def extend_match(pairs: pd.DataFrame, positives: pd.DataFrame, negatives: pd.DataFrame, size: int) -> pd.DataFrame:
+    """``pairs`` and, up to ``size`` rows, unused negatives without a positive.
+
+    Each is the one that makes the KS distance of log area between chosen negatives and positives
+    smallest (ties: first in the table). Adding a value lifts the chosen side's counts from its place on,
+    so one prefix and one suffix maximum over the distinct values judge all candidates of a step.
+    """
+    area = dict(zip(negatives["uid"], negatives["area"], strict=True))
+    left = _pool(negatives, pairs["negative"])
+    chosen = np.log([area[u] for u in pairs["negative"]])
+    goal, pool = np.log(positives.loc[positives["area"] > 0, "area"].to_numpy(dtype=float)), np.log(left["area"].to_numpy(dtype=float))
+    if not len(goal):
+        return pairs
+    grid = np.unique(np.concatenate([goal, pool, chosen]))
+    share = np.searchsorted(np.sort(goal), grid, "right") / len(goal)
+    counts = np.searchsorted(np.sort(chosen), grid, "right")
+    place, uids = np.searchsorted(grid, pool), left["uid"].tolist()
+    open_, extra = np.ones(len(uids), dtype=bool), []
+    while len(pairs) + len(extra) < size and open_.any():
+        n = len(pairs) + len(extra) + 1
+        before = np.concatenate([[0.0], np.maximum.accumulate(np.abs(counts / n - share))])
+        after = np.maximum.accumulate(np.abs((counts + 1) / n - share)[::-1])[::-1]
+        best = int(np.argmin(np.where(open_, np.maximum(before[place], after[place]), np.inf)))
+        open_[best] = False
+        counts[place[best] :] += 1
+        extra.append((uids[best], None))
+    rows = [*pairs.itertuples(index=False, name=None), *extra]
+    return pd.DataFrame(rows, columns=["negative", "positive"], dtype=object)
+
+
+#: Fixed value: the seed of the matching design.
+DESIGN_SEED = 20260908
+
+
+def pseudo_starts(design: pd.DataFrame, starts: dict, seed: int = DESIGN_SEED) -> pd.DataFrame:
+    """uid, start: a paired negative takes its positive's start; the others draw from the sorted starts in the design's order."""
+    draw, values = random.Random(seed), sorted(starts.values())
+    made = [(u, draw.choice(values) if p is None else starts[p]) for u, p in design[["negative", "positive"]].itertuples(index=False)]
+    return pd.DataFrame(made, columns=["uid", "start"])

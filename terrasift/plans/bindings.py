@@ -8,7 +8,7 @@ integer sums, so that they don't depend on the order of addition.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrasift.functions.periods import ordinal_of_date
@@ -66,10 +66,15 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 PIXELS = "pixels AS (SELECT label AS uid, vec_id AS pix, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) * 0.5 + 0.3 AS {b}" for i, b in enumerate(BANDS)) + " FROM embeddings)"
 
 
-def lattice(spark: SparkSession, sf_dir: str, least: int = 1) -> DataFrame:
-    """uid (event type), y (hour), x (day): cells with ``least`` events or more."""
-    e = table(spark, sf_dir, "events").where(F.col("event_id") % 7 < 4)
-    return e.groupBy(F.col("event_type").alias("uid"), F.hour("ts").alias("y"), F.dayofmonth("ts").alias("x")).count().where(F.col("count") >= least).drop("count")
+def lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """uid (event type), y (hour), x (day): cells with more events than the mean cell of their type."""
+    e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("uid"), F.hour("ts").alias("y"), F.dayofmonth("ts").alias("x")).count()
+    own = Window.partitionBy("uid")
+    busy = e.withColumn("cells", F.count("*").over(own)).withColumn("total", F.sum("count").over(own))
+    return busy.where(F.col("count") * F.col("cells") > F.col("total")).select("uid", "y", "x")
 
 
-LATTICE = "cells AS (SELECT event_type AS uid, CAST(hour(ts) AS INTEGER) AS y, CAST(day(ts) AS INTEGER) AS x FROM events WHERE event_id % 7 < 4 GROUP BY 1, 2, 3 HAVING count(*) >= {least})"
+LATTICE = """cells AS (
+  SELECT uid, y, x FROM (SELECT event_type AS uid, CAST(hour(ts) AS INTEGER) AS y, CAST(day(ts) AS INTEGER) AS x, count(*) AS n FROM events GROUP BY 1, 2, 3)
+  QUALIFY n * count(*) OVER (PARTITION BY uid) > sum(n) OVER (PARTITION BY uid)
+)"""

@@ -406,12 +406,29 @@ def bootstrap_verdict(spark, sf):
     return E.verdict(arm(0), arm(24))
 
 
+def _areas(spark, sf, which):
+    """uid and area of the suppliers in (or outside) the first region, the two classes of the matching study."""
+    nations = table(spark, sf, "nation").where(which).select("n_nationkey")
+    s = table(spark, sf, "supplier").where("s_acctbal > 0").join(nations, F.col("s_nationkey") == F.col("n_nationkey"), "left_semi")
+    return E.study(s.select(F.col("s_suppkey").alias("uid"), F.col("s_acctbal").alias("area")).orderBy("uid"))
+
+
+def _design(spark, sf):
+    p, n = _areas(spark, sf, "n_regionkey = 0"), _areas(spark, sf, "n_regionkey > 0")
+    return p, E.extend_match(E.greedy_match(p, n), p, n, len(p) + len(p) // 4)
+
+
 @query()
 def nearest_match(spark, sf):
-    """Greedy 1:1 matches of two bounded classes of suppliers by log balance."""
-    s = table(spark, sf, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("uid"), F.col("s_acctbal").alias("area"))
-    p, n = s.where("uid % 5 = 0").orderBy("uid").limit(40).toPandas(), s.where("uid % 5 = 1").orderBy("uid").limit(60).toPandas()
-    return spark.createDataFrame(E.greedy_match(p, n).astype("int64"))
+    """Greedy 1:1 matches of two classes of suppliers by log balance, then negatives without a pair while they fit best."""
+    return spark.createDataFrame(_design(spark, sf)[1], "negative long, positive long")
+
+
+@query()
+def pseudo_starts(spark, sf):
+    """A start for each negative of the design: its pair's, else a seeded pick of the positives' starts."""
+    p, d = _design(spark, sf)
+    return spark.createDataFrame(E.pseudo_starts(d, {u: 24 * 1998 + u % 24 for u in p["uid"]}), "uid long, start long")
 
 
 # --------------------------------------------------------- joins, sets, guards
@@ -422,14 +439,14 @@ def _cust(spark, sf):
 
 
 @query(
-    "WITH p AS (SELECT c_custkey AS uid, c_acctbal < -900 AS is_pseudo FROM customer WHERE c_mktsegment = 'BUILDING'), n AS (SELECT c_custkey AS uid, c_acctbal < 9000 AS is_pseudo FROM customer WHERE c_custkey % 50 = 0) "
+    "WITH p AS (SELECT c_custkey AS uid, c_acctbal < -900 AS is_pseudo FROM customer WHERE c_mktsegment = 'BUILDING'), n AS (SELECT c_custkey AS uid, c_acctbal < 9000 AS is_pseudo FROM customer WHERE c_acctbal > 8800) "
     "SELECT 'pseudo-start among positives' AS problem, uid FROM p WHERE is_pseudo UNION ALL SELECT 'negative without a pseudo-start', uid FROM n WHERE NOT is_pseudo "
     "UNION ALL SELECT 'in both classes', uid FROM (SELECT uid FROM p INTERSECT SELECT uid FROM n)"
 )
 def class_guard(spark, sf):
     c = _cust(spark, sf)
     p = c.where("segment = 'BUILDING'").select("uid", (F.col("bal") < -900).alias("is_pseudo"))
-    n = c.where("uid % 50 = 0").select("uid", (F.col("bal") < 9000).alias("is_pseudo"))
+    n = c.where("bal > 8800").select("uid", (F.col("bal") < 9000).alias("is_pseudo"))
     return T.class_guard(p, n)
 
 
@@ -450,12 +467,12 @@ def semi_pairs(spark, sf):
 
 
 @query(
-    "WITH t AS (SELECT c_custkey AS uid, CAST(c_custkey * 3 AS BIGINT) AS s FROM customer WHERE c_mktsegment = 'BUILDING'), p AS (SELECT c_custkey AS uid, CAST(c_custkey * 5 AS BIGINT) AS s FROM customer WHERE c_custkey % 3 = 0) "
+    "WITH t AS (SELECT c_custkey AS uid, CAST(c_custkey * 3 AS BIGINT) AS s FROM customer WHERE c_mktsegment = 'BUILDING'), p AS (SELECT c_custkey AS uid, CAST(c_custkey * 5 AS BIGINT) AS s FROM customer WHERE c_acctbal > 0) "
     "SELECT coalesce(t.uid, p.uid) AS uid, coalesce(t.s, p.s) AS start, t.s IS NULL AS is_pseudo FROM t FULL JOIN p ON t.uid = p.uid"
 )
 def merge_starts(spark, sf):
     c = _cust(spark, sf)
-    return T.merge_starts(c.where("segment = 'BUILDING'").select("uid", (F.col("uid") * 3).alias("start")), c.where("uid % 3 = 0").select("uid", (F.col("uid") * 5).alias("start")))
+    return T.merge_starts(c.where("segment = 'BUILDING'").select("uid", (F.col("uid") * 3).alias("start")), c.where("bal > 0").select("uid", (F.col("uid") * 5).alias("start")))
 
 
 @query("SELECT DISTINCT l_suppkey AS unit, l_partkey AS parcel FROM lineitem WHERE l_linenumber = 1 UNION SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_quantity > 40")
@@ -566,7 +583,7 @@ def endmembers(spark, sf):
 
 # --------------------------------------------------------------------- raster
 
-_COMPONENTS = LATTICE.format(least=2) + """, reach AS (
+_COMPONENTS = LATTICE + """, reach AS (
   SELECT uid, y, x, y AS ry, x AS rx FROM cells UNION
   SELECT r.uid, r.y, r.x, c.y, c.x FROM reach r JOIN cells c ON c.uid = r.uid AND abs(c.y - r.ry) <= 1 AND abs(c.x - r.rx) <= 1
 ), rooted AS (SELECT uid, y, x, min(ry * 100 + rx) AS root FROM reach GROUP BY 1, 2, 3), sized AS (SELECT *, count(*) OVER (PARTITION BY uid, root) AS n FROM rooted),
@@ -575,12 +592,12 @@ labelled AS (SELECT uid, y, x, dense_rank() OVER (PARTITION BY uid ORDER BY root
 
 @query(f"WITH RECURSIVE {_COMPONENTS} SELECT uid, y, x, label FROM labelled")
 def components(spark, sf):
-    return R.components(lattice(spark, sf, 2))
+    return R.components(lattice(spark, sf))
 
 
 @query(f"WITH RECURSIVE {_COMPONENTS} SELECT uid, y, x, label FROM labelled")
 def components_tiled(spark, sf):
-    return R.tiled_components(lattice(spark, sf, 2), tile=16, overlap=2)
+    return R.tiled_components(lattice(spark, sf), tile=16, overlap=2)
 
 
 _MEASURES = _COMPONENTS + """, sides AS (
@@ -591,13 +608,13 @@ _MEASURES = _COMPONENTS + """, sides AS (
 
 @query(f"WITH RECURSIVE {_MEASURES} SELECT uid, label, n_px, {_r('cy')} AS cy, {_r('cx')} AS cx, CAST(perimeter AS BIGINT) AS perimeter, round_even(4 * pi() * n_px / (perimeter * perimeter), 4) AS compactness FROM sides")
 def component_measures(spark, sf):
-    m = R.measures(R.components(lattice(spark, sf, 2)))
+    m = R.measures(R.components(lattice(spark, sf)))
     return m.select("uid", "label", "n_px", r6(F.col("cy")).alias("cy"), r6(F.col("cx")).alias("cx"), "perimeter", "compactness")
 
 
 @query()
 def component_rectangularity(spark, sf):
-    return R.rectangularity(R.components(lattice(spark, sf, 2)))
+    return R.rectangularity(R.components(lattice(spark, sf)))
 
 
 @query(
@@ -605,7 +622,7 @@ def component_rectangularity(spark, sf):
     "ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY uid ORDER BY score DESC, label) AS INTEGER) AS rank FROM scored) SELECT uid, label, score, rank FROM ranked WHERE rank <= 5"
 )
 def disturbance_rank(spark, sf):
-    m = R.measures(R.components(lattice(spark, sf, 2)))
+    m = R.measures(R.components(lattice(spark, sf)))
     s = m.withColumn("score", R.component_score(F.col("n_px") * 1000.0, F.lit(None).cast("double"), F.col("cx") * 100))
     return R.top_components(s).select("uid", "label", "score", "rank")
 
@@ -663,11 +680,11 @@ _PLANAR = "sqrt(power((a.lon - b.lon) * cos(radians((a.lat + b.lat) / 2)), 2) +
 
 
 @query(
-    f"WITH {_POINTS}, seeds AS (SELECT * FROM points WHERE pix % 100 = 0), near AS (SELECT a.id, a.pix, min({_PLANAR}) AS d FROM points a JOIN seeds b ON a.id = b.id GROUP BY 1, 2) SELECT id, pix FROM near WHERE d <= 40000 AND d > 9000"
+    f"WITH {_POINTS}, seeds AS (SELECT * FROM points WHERE lon < -99.9855), near AS (SELECT a.id, a.pix, min({_PLANAR}) AS d FROM points a JOIN seeds b ON a.id = b.id GROUP BY 1, 2) SELECT id, pix FROM near WHERE d <= 40000 AND d > 9000"
 )
 def annulus(spark, sf):
     p = _points(spark, sf)
-    return G.annulus(p.where("pix % 100 = 0"), p, 9000.0, 40000.0).select("id", "pix").distinct()
+    return G.annulus(p.where("lon < -99.9855"), p, 9000.0, 40000.0).select("id", "pix").distinct()
 
 
 # ---------------------------------------------------------------------- rules

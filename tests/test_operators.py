@@ -212,3 +212,41 @@ def test_start_interval_and_slugs(spark):
 def test_greedy_match():
     p, n = pd.DataFrame({"uid": [1, 2], "area": [100.0, 200.0]}), pd.DataFrame({"uid": [8, 9], "area": [190.0, 110.0]})
     assert E.greedy_match(p, n).to_numpy().tolist() == [[9, 1], [8, 2]]
+
+
+def _study(rng, n, first):
+    return pd.DataFrame({"uid": range(first, first + n), "area": [float(rng.choice([1, 2, 3, 5, 8, 13, 21, 40])) for _ in range(n)]})
+
+
+def test_greedy_match_against_a_scan():
+    for seed in range(40):
+        rng = random.Random(seed)
+        p, n = _study(rng, rng.randrange(0, 12), 0), _study(rng, rng.randrange(0, 15), 100)
+        left, expected = list(n.itertuples(index=False, name=None)), []
+        for uid, area in p.sort_values("area", kind="stable").itertuples(index=False, name=None):
+            if left:
+                best = min(left, key=lambda r: (abs(np.log(r[1]) - np.log(area)), r[0]))
+                left.remove(best)
+                expected.append([best[0], uid])
+        assert E.greedy_match(p, n).to_numpy().tolist() == expected
+
+
+def test_extend_match_against_every_candidate():
+    gap = lambda a, b: max(abs(np.mean(np.array(a) <= v) - np.mean(np.array(b) <= v)) for v in {*a, *b})
+    for seed in range(20):
+        rng = random.Random(seed)
+        p, n = _study(rng, 6, 0), _study(rng, 14, 100)
+        pairs = E.greedy_match(p, n)
+        area, chosen = dict(zip(n["uid"], np.log(n["area"]), strict=True)), list(pairs["negative"])
+        while len(chosen) < 10:
+            chosen.append(min((u for u in n["uid"] if u not in chosen), key=lambda u: gap([area[c] for c in [*chosen, u]], np.log(p["area"]))))
+        design = E.extend_match(pairs, p, n, 10)
+        assert design["negative"].tolist() == chosen and design["positive"].tolist()[6:] == [None] * 4
+        starts = E.pseudo_starts(design, {u: 10 + u for u in p["uid"]})
+        assert starts["start"].tolist()[:6] == [10 + u for u in pairs["positive"]] and starts.equals(E.pseudo_starts(design, {u: 10 + u for u in p["uid"]}))
+        assert set(starts["start"]) <= set(range(10, 16))
+
+
+def test_study_refuses_what_it_cannot_hold(spark):
+    with pytest.raises(ValueError):
+        E.study(spark.range(5).selectExpr("id AS uid", "1.0D AS area"), most=4)
