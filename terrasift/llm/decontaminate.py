@@ -142,13 +142,14 @@ def _leaks(items: Items, threshold: float):
         for batch in batches:
             data, offsets = C.texts_of(batch.column("text"))
             ids, out = batch.column("doc_id"), []
-            for lo, hi in C.pieces(offsets, 1 << 21):
+            for lo, hi in C.pieces(offsets, 1 << 19):
                 part = offsets[lo : hi + 1]
                 out += [(lo + t, i, s) for t, i, s in find(items, data[part[0] : part[-1]], part - part[0], threshold)]
             n_item = np.array([len(items.sets[i]) for _, i, _ in out], np.int64)
             shared = np.array([s for *_, s in out], np.int64)
             columns = [ids.take(pa.array([t for t, *_ in out], pa.int64())), pa.array([items.ids[i] for _, i, _ in out], pa.int64()), pa.array(shared), pa.array(n_item), pa.array(shared / np.maximum(n_item, 1))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "n_shared", "n_item", "containment"])
+        C.release()
 
     return run
 
@@ -173,11 +174,12 @@ def _clean(items: Items, threshold: float):
         for batch in batches:
             data, offsets = C.texts_of(batch.column("text"))
             keep = np.ones(batch.num_rows, dtype=bool)
-            for lo, hi in C.pieces(offsets, 1 << 21):
+            for lo, hi in C.pieces(offsets, 1 << 19):
                 part = offsets[lo : hi + 1]
                 for t, *_ in find(items, data[part[0] : part[-1]], part - part[0], threshold):
                     keep[lo + t] = False
             yield batch.filter(pa.array(keep))
+        C.release()
 
     return run
 

@@ -167,7 +167,7 @@ def _predict(shared):
             data, offsets = C.texts_of(batch.column("text"))
             letter = batch.column("letter").fill_null(False).to_numpy(zero_copy_only=False)
             best, score, rate = np.full(batch.num_rows, len(names) - 1), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            for lo, hi in C.pieces(offsets, 1 << 22) if model.languages else ():
+            for lo, hi in C.pieces(offsets, 1 << 20) if model.languages else ():
                 part = offsets[lo : hi + 1]
                 bits = model.code_lengths(data[part[0] : part[-1]], part - part[0])
                 known = np.flatnonzero(letter[lo:hi])
@@ -179,6 +179,7 @@ def _predict(shared):
             mask = ~letter | (best == len(names) - 1)
             made = [pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(rate, mask=mask)]
             yield pa.RecordBatch.from_arrays([*rest, *made], names=["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"])
+        C.release()
 
     return run
 
@@ -200,12 +201,13 @@ def _accept(shared, reject_bits: float):
         for batch in batches:
             data, offsets = C.texts_of(batch.column("text"))
             keep = batch.column("_letter").fill_null(False).to_numpy(zero_copy_only=False).copy()
-            for lo, hi in C.pieces(offsets, 1 << 22) if model.languages else ():
+            for lo, hi in C.pieces(offsets, 1 << 20) if model.languages else ():
                 part = offsets[lo : hi + 1]
                 bits = model.code_lengths(data[part[0] : part[-1]], part - part[0])
                 keep[lo:hi] &= bits.min(axis=1) <= reject_bits * np.maximum(1, np.diff(part))
             out = batch.filter(pa.array(keep))
             yield out.drop_columns(["_letter"])
+        C.release()
 
     return run
 

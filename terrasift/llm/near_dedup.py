@@ -49,6 +49,10 @@ MAX_DISTANCE = 2 * CHUNKS - 1
 BLOCK = 4000
 #: Shingles that one block holds at once (8 bytes each).
 LOAD = 4_000_000
+#: Shingles that are looked up in one set at once.
+STEP = 1 << 18
+#: Bytes of whole texts that are cut into shingles at once, unless one text has more.
+PIECE = 1 << 19
 
 _MULTIPLY = C._splitmix(101, POSITIONS) | np.uint64(1)
 _ADD = C._splitmix(211, POSITIONS)
@@ -70,7 +74,7 @@ def minhash(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 def _sets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, offsets = C.texts_of(texts)
-    for lo, hi in C.pieces(offsets, 1 << 21):
+    for lo, hi in C.pieces(offsets, PIECE):
         part = offsets[lo : hi + 1]
         hashes, first = C.words(data[part[0] : part[-1]], part - part[0], C.NOT_SPACE)
         yield lo, hi, *C.distinct_sets(*C.shingles(hashes, first, SHINGLE))
@@ -94,6 +98,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [batch.column("doc_id")[lo:hi], batch.column("rid")[lo:hi], pa.array(n, pa.int64()), pa.array(node.view(np.int64), mask=n == 0), pa.array([r.tobytes() for r in signature], pa.binary())],
                 names=["doc_id", "rid", "n_shingles", "node", "signature"],
             )
+    C.release()
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -131,6 +136,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = chunk_values(signature)
             nodes = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), POSITIONS)
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(nodes)], names=["key", "node"])
+    C.release()
 
 
 def chunk_keys(classes: DataFrame) -> DataFrame:
@@ -174,19 +180,17 @@ def _by_set(pdf: pd.DataFrame):
     near = _by_signature(pdf)
     sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
     size = pdf["n_shingles"].to_numpy()
-    every = np.concatenate(sets)
-    begin = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    held = np.array([len(s) for s in sets], np.int64)
 
     def linked(i: int, others: np.ndarray) -> np.ndarray:
         ok = near(i, others)
         some = others[ok]
         if len(some):
-            mine = sets[i]
-            lengths = begin[some + 1] - begin[some]
-            start = np.cumsum(lengths) - lengths
-            values = every[np.repeat(begin[some] - start, lengths) + np.arange(int(lengths.sum()))]
-            at = np.minimum(np.searchsorted(mine, values), len(mine) - 1)
-            common = np.add.reduceat((mine[at] == values).astype(np.int64), start)
+            mine, common = sets[i], np.empty(len(some), np.int64)
+            for lo, hi in C.pieces(np.concatenate([[0], np.cumsum(held[some])]), STEP):
+                values = np.concatenate([sets[k] for k in some[lo:hi]])
+                at = np.minimum(np.searchsorted(mine, values), len(mine) - 1)
+                common[lo:hi] = np.add.reduceat((mine[at] == values).astype(np.int64), np.cumsum(held[some[lo:hi]]) - held[some[lo:hi]])
             ok[ok] = 100 * common >= 75 * (size[i] + size[some] - common)
         return ok
 
@@ -230,6 +234,7 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             made = [values[begin[k] : begin[k + 1]].tobytes() for k in own]
             rest = [batch.column(c)[lo:hi].take(pa.array(own, pa.int64())) for c in ("label", "node", "n_shingles", "signature")]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(made, pa.binary())], names=["label", "node", "n_shingles", "signature", "shingles"])
+    C.release()
 
 
 def _sized(labels: DataFrame) -> DataFrame:

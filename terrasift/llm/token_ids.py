@@ -274,6 +274,7 @@ def _tokenize(path: str, end: int, bounds: list[int]):
                 shard = np.where(doc.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(edges, doc.fill_null(0).to_numpy(), "left"))
                 ids = pa.array(encoder.encode(part.column("text").to_pylist(), end), pa.binary())
                 yield pa.RecordBatch.from_arrays([doc, pa.array(shard, pa.int32()), ids], names=["doc_id", "shard", "ids"])
+        C.release()
 
     return run
 
@@ -304,6 +305,7 @@ def _blocks(width: int):
                 size += len(ids)
         if held:
             yield flush()
+        C.release()
 
     return run
 
