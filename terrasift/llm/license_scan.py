@@ -6,13 +6,14 @@ Base places are those where a phrase's words stand consecutively.
 The method adds labels. Each template is a licence's known wording, with a key
 phrase that must be there. The index maps each template word to its postings
 (template, position). A counting pass over all documents gives each template
-word its document frequency. In each file the ``rare`` template words of highest
-IDF are looked up; each occurrence votes, through each posting, for a template
-starting at (place in file - place in template); offsets with ``votes`` distinct
-words or more are candidates, and a candidate counts if the template's key phrase
+word its document frequency. Of each template's key phrase the ``rare`` words of
+highest IDF are looked up in each file; each occurrence votes, through each posting, for a template
+starting at (place in file - place in template); offsets with ``votes`` places
+or more (all, if the phrase has fewer) are candidates, and a candidate counts if the template's key phrase
 stands at its exact place. The score is the best candidate's share of its
 template's IDF weight that the file holds in place (1 if a base phrase is there
-and no template does better).
+and no template does better). A place of a key phrase gets a vote of each of its words
+looked up, so each is verified, however many other licence words the file holds.
 
 One pass over the texts splits each once and writes its number of words, the
 template words that it holds, and, only for rows that hold some key phrase, all its
@@ -131,16 +132,19 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, base=BASE, rare: int = 8,
     every = F.concat(*[f"p{k}" for k in range(len(phrases))])
     labels = F.array_compact(F.array(*[F.when(F.size(f"p{k}") > 0, F.lit(base[p])) for k, p in enumerate(phrases)]))
     d = d.withColumn("base", F.sort_array(F.array_distinct(labels))).withColumn("places", every)
-    # the file's rarest template words, all their places, and their votes
-    ranked = [w for w, _ in sorted(idf.items(), key=lambda x: (-x[1], x[0]))]
-    ordered = F.array(*[F.lit(w) for w in ranked])
+    # the rarest words of each key phrase, all their places, and their votes
     posting: dict[str, list[tuple[int, int]]] = {}
-    for t, (_, text, _) in enumerate(templates):
-        for p, w in enumerate(text.split()):
+    enough = []
+    for t, (_, text, key) in enumerate(templates):
+        own = sorted(set(key.split()), key=lambda w: (-idf[w], w))[:rare]
+        first = _key_place(text, key)
+        spots = [(first + p, w) for p, w in enumerate(key.split()) if w in own]
+        enough.append(min(votes, len(spots)))
+        for p, w in spots:
             posting.setdefault(w, []).append((t, p))
-    postings = F.create_map(*[x for w in ranked for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in posting[w]]))])
-    looked = F.slice(F.array_intersect(ordered, "w"), 1, rare)
-    d = d.withColumn("rare", looked)
+    ordered = F.array(*[F.lit(w) for w in sorted(posting)])
+    postings = F.create_map(*[x for w in sorted(posting) for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in posting[w]]))])
+    d = d.withColumn("rare", F.array_intersect(ordered, "w")).withColumn("enough", F.array(*[F.lit(n) for n in enough]))
     # rare and cast are bound by a one-element transform; inlined into the inner lambdas they would be made anew for each word
     spots = F.expr("get(transform(array(rare), r -> filter(transform(w, (x, i) -> struct(x as x, i as i)), s -> array_contains(r, s.x))), 0)")
     d = d.withColumn("spots", spots).withColumn("postings", postings)
@@ -148,8 +152,9 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, base=BASE, rare: int = 8,
     d = d.withColumn(
         "cast", F.expr("sort_array(flatten(transform(spots, s -> transform(postings[s.x], q -> q.t * 4294967296L + s.i - q.p))))")
     ).drop("spots", "postings")
-    runs = f"get(transform(array(cast), c -> filter(c, (v, i) -> coalesce(get(c, i + {votes - 1}) = v, false) and not coalesce(get(c, i - 1) = v, false))), 0)"
-    start = "transform(runs, v -> struct(cast(shiftright(v + 2147483648L, 32) as int) as t, cast(v - shiftright(v + 2147483648L, 32) * 4294967296L as int) as at))"
+    t = "cast(shiftright(v + 2147483648L, 32) as int)"
+    runs = f"get(transform(array(cast), c -> filter(c, (v, i) -> coalesce(get(c, i + get(enough, {t}) - 1) = v, false) and not coalesce(get(c, i - 1) = v, false))), 0)"
+    start = f"transform(runs, v -> struct({t} as t, cast(v - shiftright(v + 2147483648L, 32) * 4294967296L as int) as at))"
     d = d.withColumn("runs", F.expr(runs)).drop("cast").withColumn("candidates", F.expr(start)).drop("runs")
     # mandatory key phrases at their places, and the share of the template's weight in place
     tables = F.array(

@@ -372,6 +372,23 @@ def test_license_labels(spark):
     assert out[6].n_base == 2
 
 
+def test_license_labels_of_a_file_with_every_template(spark):
+    """No licence of a file takes another's place, whatever the words' document frequencies are."""
+    parts = [t for _, t, _ in license_scan.TEMPLATES]
+    keys = [k for _, _, k in license_scan.TEMPLATES]
+    apart = [(100 + i, t) for i, t in enumerate(parts)] + [(200 + i, k) for i, k in enumerate(keys)]
+    common = [(1000 + i, "a and any are the this of license software") for i in range(300)]
+    expected = {100 + i: label for i, (label, _, _) in enumerate(license_scan.TEMPLATES)}
+    every = ",".join(sorted(set(expected.values())))
+    notice = [(0, ". x ".join(parts)), (1, ". x ".join(keys)), (2, parts[0] + ". x " + parts[8] + ". x " + parts[9])]
+    for more in ([], common):
+        out = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(notice + apart + more, "doc_id long, text string")).collect()}
+        assert out[0].labels == out[1].labels == every
+        assert out[2].labels == "bsd,mit,mpl"
+        assert all(label in out[i].labels.split(",") and label in out[i + 100].labels.split(",") for i, label in expected.items())
+    assert {r.labels for r in license_scan.license_scan(spark.createDataFrame([(0, "a b c d")], "doc_id long, text string"), [("x", "a b c", "b")]).collect()} == {"x"}
+
+
 def test_topk(spark):
     r = np.random.default_rng(3)
     v = [(i, [float(x) for x in np.round(r.normal(size=8), 1)]) for i in range(400)]
