@@ -12,13 +12,15 @@ with nothing). Two documents are linked if ``100 * |A & B| >= 75 * |A | B|``.
    pigeonhole principle two signatures at Hamming distance <= 23 (positions
    that differ) have a chunk with at most one error, so each chunk emits one
    key for each position that may be wrong: 48 keys a document. At Jaccard
-   0.75 a position differs with probability 1/4; a pair is missed only if all 12
-   chunks hold two errors or more: 0.262 ** 12 = 1e-7, and less above 0.75.
+   0.75 a position differs with probability 1/4; a pair shares no key only if all 12
+   chunks hold two errors or more: 0.262 ** 12 = 1.03e-7, and less above 0.75.
 4. Documents that share a key, through the least node of the key: linear in
    the number of keys, however many documents one key has. Their connected
    components are a superset of the classes sought.
-5. Inside each component, ``block_edges`` keeps only what is within the
-   signature distance, then confirms with the full shingle sets. Both run in
+5. Inside each component, ``block_edges`` keeps only what is within ``ADMITTED``
+   positions, then confirms with the full shingle sets. At Jaccard 0.75 more than
+   30 of 48 positions differ with probability 8.4e-9, so the whole path misses a
+   pair with probability 1.1e-7, and less above 0.75. Both run in
    blocks of bounded size: a component of more than ``block`` documents is dealt
    to all pairs of its blocks, so none is dropped and no task holds it whole.
    A block emits a spanning forest, never all pairs.
@@ -45,6 +47,8 @@ CHUNKS, WIDTH = 12, 4
 POSITIONS = CHUNKS * WIDTH
 #: Signatures at this distance or less share a key.
 MAX_DISTANCE = 2 * CHUNKS - 1
+#: Signatures farther apart than this are not held against each other; a pair may share a key beyond MAX_DISTANCE.
+ADMITTED = 30
 #: Members that one task compares at once.
 BLOCK = 4000
 #: Shingles that one block holds at once (8 bytes each).
@@ -170,7 +174,7 @@ def _by_signature(pdf: pd.DataFrame):
         sized = 100 * np.minimum(n[others], n[i]) >= 75 * np.maximum(n[others], n[i])
         ok = np.zeros(len(others), dtype=bool)
         some = others[sized]
-        ok[sized] = (signature[some] != signature[i]).sum(axis=1) <= MAX_DISTANCE
+        ok[sized] = (signature[some] != signature[i]).sum(axis=1) <= ADMITTED
         return ok
 
     return near

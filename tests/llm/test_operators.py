@@ -1,6 +1,7 @@
 """The ten operators against brute force on small tables with nulls, empties, long texts, ties and repeats."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -489,6 +490,21 @@ def test_near_dedup_chain_in_blocks(spark):
         assert {r.component_id for r in near_dedup.near_duplicates(docs, block=block).collect()} == {0}
 
 
+def test_near_dedup_links_beyond_the_distance_that_sharing_a_key_needs(spark):
+    """Six of eight shingles in common, 25 to 27 of 48 positions apart, and a key in common."""
+    rows = []
+    for k, text in enumerate((
+        "128479 427141 454307 455006 633122 330944 98697 725741 490918 233414 597268 410868",
+        "133731 543462 613370 819000 412040 510574 539809 343891 150816 916920 357617 271682",
+        "641929 33817 441867 984027 80689 605524 130225 161128 141443 48588 895448 758385",
+    )):
+        words = text.split()
+        rows += [(10 * k, " ".join(words[:-1])), (10 * k + 1, " ".join(words[1:]))]
+    out = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {d: d // 10 * 10 for d, _ in rows}
+    assert sum(math.comb(48, k) * 0.25**k * 0.75 ** (48 - k) for k in range(near_dedup.ADMITTED + 1, 49)) < 1e-8
+
+
 def test_near_dedup_keeps_one(docs, rows, empty):
     kept = near_dedup.keep_one(docs)
     assert kept.columns == docs.columns
