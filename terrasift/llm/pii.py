@@ -11,7 +11,8 @@ A match that fails its test is dropped and not tried again at another place.
 The searches below start only where a match can start, which leaves the result
 as it is and keeps them linear on long runs of letters or digits.
 
-The model reads the stretches around digits and at-signs. Their tokens are
+The model reads the stretches around digits and at-signs, also spelt-out ones:
+``(at)``, ``[at]``, and `` at `` before a domain with a dot, plain or spelt out. Their tokens are
 segmented jointly: each segment is one token that belongs to no entity, or an
 entity of up to ``LONGEST`` tokens with a kind. Features describe the whole span:
 its shape, digit count, Luhn and address tests, and the characters on both sides.
@@ -98,19 +99,28 @@ def base_spans(text: str) -> list[Span]:
 
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]")
 _CORE = re.compile(r"[0-9@]+")
+_SPELT = re.compile(r"\(at\)|\[at\]| at (?=[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]| ?(?:\(dot\)|\[dot\]) ?[A-Za-z0-9-]| dot [A-Za-z0-9-]))")
 _REACH = 48
 _LEFT, _RIGHT = re.compile(r"[A-Za-z0-9._%+()\[\] -]*\Z"), re.compile(r"[A-Za-z0-9.()\[\] -]*")
 
 
+def _cores(text: str) -> list[tuple[int, int]]:
+    """Places of digits, at-signs and spelt-out at-signs; the last are searched only where their letters stand."""
+    cores = [m.span() for m in _CORE.finditer(text)]
+    if "(at)" in text or "[at]" in text or " at " in text:
+        cores = sorted(cores + [m.span() for m in _SPELT.finditer(text)])
+    return cores
+
+
 def stretches(text: str) -> list[tuple[int, int]]:
     """Parts of the text around digits and at-signs, each core with what an entity may have around it."""
     out: list[list[int]] = []
-    for m in _CORE.finditer(text):
-        lo = max(0, m.start() - _REACH)
-        a = lo + _LEFT.search(text[lo : m.start()]).start()
-        while a < m.start() and a > 0 and a == lo and text[a].isalnum():  # don't start inside a word
+    for start, end in _cores(text):
+        lo = max(0, start - _REACH)
+        a = lo + _LEFT.search(text[lo:start]).start()
+        while a < start and a > 0 and a == lo and text[a].isalnum():  # don't start inside a word
             a += 1
-        b = _RIGHT.match(text, m.end(), m.end() + _REACH).end()
+        b = _RIGHT.match(text, end, end + _REACH).end()
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -304,8 +314,6 @@ def model() -> SemiCRF:
 def all_spans(text: str, crf: SemiCRF, base: list[Span] | None = None) -> list[Span]:
     """Base spans and the model's that overlap none of them, by start, then kind."""
     base = base_spans(text) if base is None else base
-    if not _SOME(text):
-        return base
     ordered = sorted(base)
     out, at = list(base), 0
     reach = 0

@@ -298,6 +298,18 @@ def test_semi_markov_held_out():
     assert right / there > 0.9
 
 
+def test_personal_data_spelt_out_at_sign_without_digits():
+    crf = pii.model()
+    found = lambda t: [t[a:b] for a, k, b in pii.all_spans(t, crf) if k == 0]
+    assert found("write to john (at) example.org") == ["john (at) example.org"]
+    assert found("a.b[at]mail.de") == ["a.b[at]mail.de"]
+    assert found("write to joe at example.org now") == ["joe at example.org"]
+    assert found("joe[at]example[dot]org, and anna (at) mail.de") == ["joe[at]example[dot]org", "anna (at) mail.de"]
+    assert [pii.stretches(t) for t in ("look at the page.", "at home. Then at", "flat) [a t] (a)")] == [[], [], []]
+    seen = [(t[x:y], any(a <= x and y <= b for a, b in pii.stretches(t))) for t, spans in pii.training_set() for x, _, y in spans]
+    assert [s for s, inside in seen if not inside] == []
+
+
 def leaked(docs, items):
     def sets(t, n=None):
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(t))
