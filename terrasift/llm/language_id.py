@@ -15,8 +15,8 @@ is cut into stretches that start ``order`` bytes early, and all stretches of a
 batch are walked side by side in NumPy.
 
 Training sample (its bounds are parameters): of the documents given, those of
-at most ``max_bytes`` bytes with text and language, the first ``per_language`` of
-each of the ``max_languages`` most frequent languages by a hash of the text.
+at most ``max_bytes`` bytes with text and language, the first ``per_language``
+distinct texts of each of the ``max_languages`` most frequent languages by a hash of the text.
 
 Predictions read the text alone. A null text, or one without a letter, is
 ``und`` with score 0 and no code length. Ties fall to the first language by code
@@ -48,7 +48,7 @@ def training_rows(docs: DataFrame, train: Column, per_language: int = PER_LANGUA
     fits = known.where((F.octet_length("text") <= max_bytes) & F.col("text").rlike(r"\p{L}"))
     marked = fits.select("lang", F.xxhash64("text").alias("h"))
     frequent = [r[0] for r in marked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    first = marked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= per_language)
+    first = marked.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= per_language)
     cut = {r[0]: r[1] for r in first.groupBy("lang").agg(F.max("h")).collect() if r[0] in set(frequent)}
     if not cut:
         return []

@@ -122,6 +122,14 @@ def test_language_id(docs, rows, empty):
     assert language_id.predict(empty, model, F.lit(False)).collect() == []
 
 
+def test_language_id_sample_counts_copies_once(spark):
+    """Copies of the text whose hash comes first take one place of the sample."""
+    texts = [f"text {'abcdefghijklmnopqrstuvwxyz'[k]} of the sample" for k in range(12)]
+    ordered = [r.text for r in spark.createDataFrame([(t,) for t in texts], "text string").orderBy(F.xxhash64("text")).collect()]
+    docs = spark.createDataFrame([("en", t) for t in texts + [ordered[0]] * 30], "lang string, text string")
+    assert language_id.training_rows(docs, F.lit(True), per_language=5) == sorted(("en", t) for t in ordered[:5])
+
+
 def test_code_length_is_exact(rows):
     """The automaton against a walk through the counts, context by context."""
     model = language_id.Model([(r[2], r[1]) for r in rows if r[2] and r[1] and len(r[1]) < 2000], min_context=1)
