@@ -431,6 +431,29 @@ def pseudo_starts(spark, sf):
     return spark.createDataFrame(E.pseudo_starts(d, {u: 24 * 1998 + u % 24 for u in p["uid"]}), "uid long, start long")
 
 
+@query()
+def start_frequency(spark, sf):
+    """How many positives start, and how many negatives of the design pseudo-start, in each period."""
+    p, d = _design(spark, sf)
+    starts = {u: 24 * 1998 + u % 24 for u in p["uid"]}
+    pseudo = spark.createDataFrame(E.pseudo_starts(d, starts), "uid long, start long").select("start", F.lit("neg").alias("class"))
+    both = spark.createDataFrame([(int(x), "pos") for x in starts.values()], "start long, class string").union(pseudo)
+    return both.groupBy("start").pivot("class", ["pos", "neg"]).count().na.fill(0)
+
+
+@query()
+def bootstrap_paired(spark, sf):
+    """Interval of the delta of a positive less that of its matched negative, and the verdict; pairs by log number of orders."""
+    s = series(spark, sf)
+    sized = s.groupBy("uid").agg(F.sum("n").alias("area")).join(anchors(s), "uid").orderBy("uid")
+    p, n = (E.study(sized.where(which).select("uid", "area")) for which in ("is_positive", "not is_positive"))
+    pairs = spark.createDataFrame(E.greedy_match(p, n), "negative long, positive long")
+    delta = lambda uid, name: _scored(spark, sf).select(F.col("uid").cast("long").alias(uid), F.col("score").alias(name))
+    d = F.broadcast(pairs).join(delta("positive", "a"), "positive").join(delta("negative", "b"), "negative")
+    held = E.bootstrap(d.select(F.lit("ndbi").alias("metric"), (F.col("a") - F.col("b")).alias("value")), "mean")
+    return held.withColumn("verdict", F.when(F.col("lo").isNull(), "too few matched pairs").otherwise(E.paired_verdict(F.col("lo"), F.col("hi"))))
+
+
 # --------------------------------------------------------- joins, sets, guards
 
 

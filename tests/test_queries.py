@@ -3,8 +3,12 @@
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
+from terrasift.operators import evaluate as E
+from terrasift.plans import bindings
 from terrasift.plans.queries import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -34,3 +38,24 @@ def test_query(spark, tables, name):
         expected = tables.sql(ORACLE[name])
         assert sorted(got.columns) == sorted(expected.columns)
         assert rows(got.columns, found) == rows(expected.columns, expected.fetchall())
+
+
+def test_bootstrap_paired(spark):
+    """Pairs, not sites, are resampled: the estimate is the mean difference within the pairs."""
+    got = QUERIES["bootstrap_paired"](spark, FOLDER).collect()
+    area = {r.uid: r.n for r in bindings.series(spark, FOLDER).groupBy("uid").agg({"n": "sum"}).toDF("uid", "n").collect()}
+    score = {r.uid: r.delta for r in QUERIES["onset_delta"](spark, FOLDER).collect()}
+    side = lambda k: pd.DataFrame([(u, area[u]) for u in sorted(area) if u % 2 == k], columns=["uid", "area"])
+    pairs = E.greedy_match(side(0), side(1))
+    d = [score[a] - score[b] for b, a in pairs.itertuples(index=False) if score.get(a) is not None and score.get(b) is not None]
+    assert len(got) == 1 and got[0].n == len(d) >= 3
+    assert got[0].estimate == pytest.approx(np.mean(d), abs=1e-5)
+    assert got[0].lo < got[0].estimate < got[0].hi
+    assert got[0].verdict == ("SEPARATES" if got[0].lo > 0 else "wrong sign" if got[0].hi < 0 else "no separation")
+
+
+def test_start_frequency(spark):
+    got = QUERIES["start_frequency"](spark, FOLDER).collect()
+    design = QUERIES["nearest_match"](spark, FOLDER).collect()
+    assert sum(r.neg for r in got) == len(design)
+    assert sum(r.pos for r in got) >= len({r.positive for r in design if r.positive is not None})
