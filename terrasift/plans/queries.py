@@ -396,7 +396,7 @@ def ks_distance(spark, sf):
 @query()
 def bootstrap_auc(spark, sf):
     d = _scored(spark, sf).select(F.lit("ndbi").alias("metric"), F.col("score").alias("value"), "is_positive")
-    return E.bootstrap(d, "auc", draws=2000)
+    return E.bootstrap(d, "auc", draws=10_000)
 
 
 @query()
@@ -592,7 +592,7 @@ def chip_stretch(spark, sf):
 @query()
 def pixel_sample(spark, sf):
     p = pixels(spark, sf).withColumns({"ord": F.lit(0), "y": F.col("pix"), "x": F.lit(0)})
-    return S.sampled(p, 30, 30).select("uid", "pix")
+    return S.sampled(p, 4000, 60_000).select("uid", "pix")
 
 
 @query()

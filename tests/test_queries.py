@@ -59,3 +59,14 @@ def test_start_frequency(spark):
     design = QUERIES["nearest_match"](spark, FOLDER).collect()
     assert sum(r.neg for r in got) == len(design)
     assert sum(r.pos for r in got) >= len({r.positive for r in design if r.positive is not None})
+
+
+def test_study_parameters_are_those_of_the_reference(spark, monkeypatch):
+    """10,000 draws for the AUC's interval; up to 4000 pixels a period and 60,000 a site."""
+    drawn, bootstrap = [], E.bootstrap
+    monkeypatch.setattr(E, "bootstrap", lambda d, kind, draws=20_000, **k: drawn.append((kind, draws)) or bootstrap(d, kind, draws, **k))
+    assert QUERIES["bootstrap_auc"](spark, FOLDER).first().lo is not None
+    assert drawn == [("auc", 10_000)]
+    whole = bindings.pixels(spark, FOLDER)
+    assert whole.groupBy("uid").count().agg({"count": "max"}).first()[0] <= 4000
+    assert QUERIES["pixel_sample"](spark, FOLDER).count() == whole.count()
