@@ -17,7 +17,9 @@ A block is one row of a Parquet table (shard, block, its doc_ids, its bytes),
 so Spark's committer makes writing safe when executors are lost, on any store.
 Shards are ranges of doc_id, from quantiles of the doc_id column alone. A
 document's global start is its shard's start (sums of whole shards, a bounded
-table) plus its block's start in the shard plus the offset that select gives.
+table) plus its block's start in the shard plus its offset in the block. Reading a
+whole block takes all its offsets at once with ``decode``, which expands them into an
+array of 64-bit offsets for that block; ``select`` is for single documents.
 
 Encoding works by pieces: a byte-level BPE of this kind never joins across a
 white space that stands between other characters, so texts are cut there, and
