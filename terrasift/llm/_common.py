@@ -3,7 +3,7 @@
 * ``scratch_dir`` / ``materialize``: cut lineage with a Parquet table in the
   folder that the cluster shares (``spark.checkpoint.dir``).
 * ``ship``: make this package importable in Python workers.
-* ``components``: distributed connected components over an edge table.
+* ``components``: distributed connected components over an edge table; ``folded``: the same over arrays.
 * NumPy kernels that split and hash the words of a whole Arrow batch of texts.
 """
 
@@ -13,6 +13,7 @@ import atexit
 import ctypes
 import io
 import os
+import random
 import tempfile
 import uuid
 import zipfile
@@ -23,19 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where ``spark.checkpoint.dir`` is unset (local tests).
-LOCAL_SCRATCH = "/tmp/checkpoints/terrasift"
-
 _written: list[tuple[SparkSession, str]] = []
 _shipped: set[str] = set()
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
+    """The folder that driver and executors share; where it is unset (local tests), one in the warehouse, which they share too."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    return LOCAL_SCRATCH
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -103,32 +101,61 @@ def shuffle_partitions(spark: SparkSession) -> int:
 # connected components
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Label every node of an edge table with the smallest node it reaches.
 
     ``edges(a, b)`` of long. Returns ``(node, label)`` for nodes on an edge.
-    Each round lowers a node's label to the least label of its neighbours
-    (a pre-aggregated group-by, so a hub with many neighbours is not gathered
-    anywhere) and then follows the label's own label, which halves the depth of
-    chains. Each round is written to the shared folder; only one count per
-    round reaches the driver.
+    Each round picks for each node a representative, the first of itself and its
+    neighbours in an order that changes from round to round (a pre-aggregated
+    group-by, so a hub with many neighbours is not gathered anywhere), follows the
+    representative's own once, and replaces the edges by those between
+    representatives: loops and repeats go, so the table shrinks by a constant
+    factor and the rounds are logarithmic, for a chain too. The first order is
+    the natural one, which folds the stars around smallest nodes at once.
+    Labels are read back through the rounds, whose tables shrink alike. All
+    tables are in the shared folder; one emptiness test a round reaches the driver.
     """
-    both = materialize(
-        edges.select("a", "b").where("a <> b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(),
-        "edges",
-    )
-    label = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "cc")
-    for _ in range(max_rounds):
-        near = both.join(label, both.b == label.node).groupBy("a").agg(F.min("label").alias("near"))
-        low = label.join(near, label.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("low"))
-        up = label.select(F.col("node").alias("parent"), F.col("label").alias("over"))
-        nxt = materialize(
-            low.join(up, low.low == up.parent, "left").select("node", "old", F.least("low", "over").alias("label")), "cc"
+    rest = materialize(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    rounds: list[DataFrame] = []
+    order = random.Random(5)
+    while not rest.isEmpty():
+        flip = F.lit(order.getrandbits(63) if rounds else 0).cast("long")
+        both = rest.unionAll(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        first = F.least(F.min(F.col("b").bitwiseXOR(flip)), F.col("node").bitwiseXOR(flip)).bitwiseXOR(flip)
+        near = both.withColumnRenamed("a", "node").groupBy("node").agg(first.alias("near"))
+        over = near.select(F.col("node").alias("n"), F.col("near").alias("label"))
+        step = materialize(near.join(over, near.near == over.n).select("node", "label"), "cc")
+        rounds.append(step)
+        left = step.select(F.col("node").alias("a"), F.col("label").alias("x"))
+        right = step.select(F.col("node").alias("b"), F.col("label").alias("y"))
+        rest = materialize(
+            rest.join(left, "a").join(right, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges"
         )
-        label = nxt.select("node", "label")
-        if nxt.where("old <> label").isEmpty():
-            return label
-    raise RuntimeError("components did not converge")
+    if not rounds:
+        return rest.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    label = rounds.pop()
+    while rounds:
+        later = label.select(F.col("node").alias("n"), F.col("label").alias("final"))
+        label = rounds.pop().join(later, F.col("label") == F.col("n"), "left").select("node", F.coalesce("final", "label").alias("label"))
+    label = materialize(label, "cc")
+    least = label.groupBy(F.col("label").alias("l")).agg(F.min("node").alias("least"))
+    return label.join(least, F.col("label") == F.col("l")).select("node", F.col("least").alias("label"))
+
+
+def folded(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some edges and the least node that each reaches by them."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        p, q = label[x], label[y]
+        some = np.flatnonzero(p != q)
+        if not len(some):
+            return nodes, nodes[label]
+        x, y, p, q = x[some], y[some], p[some], q[some]
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+        while not np.array_equal(label[label], label):
+            label = label[label]
 
 
 # --------------------------------------------------------------------------
@@ -197,6 +224,8 @@ _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 def release() -> None:
     """Give freed memory back to the system at a task's end: workers outlive tasks, and idle ones count in an executor's memory."""
+    if len(_powers[0]) > 2 * SEGMENT:  # after a word longer than a segment
+        _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
     pa.default_memory_pool().release_unused()
     if _trim is not None:
         _trim(0)
@@ -211,14 +240,16 @@ def pieces(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         lo = min(hi, n)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (A-Z lower-cased) and, per text, the first word's index (n + 1 long)."""
+#: Bytes hashed at once: longer runs of texts are cut ahead of a byte that is in no word.
+SEGMENT = 1 << 20
+
+
+def _word_ends(data: np.ndarray, edges: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of one segment, in which texts begin at ``edges``."""
     n = len(data)
-    if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     w = inside[data]
     edge = np.zeros(n + 1, dtype=bool)
-    edge[offsets] = True
+    edge[edges] = True
     begin, end = w.copy(), w.copy()
     begin[1:] &= ~w[:-1] | edge[1:n]
     end[:-1] &= ~w[1:] | edge[1:n]
@@ -226,8 +257,24 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
     power, inverse = _power_tables(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_LOWERED_BYTES[data] * power[:n], out=total[1:])
-    hashes = mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    return hashes, np.searchsorted(starts, offsets)
+    return mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts
+
+
+def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (A-Z lower-cased) and, per text, the first word's index (n + 1 long)."""
+    n, lo = len(data), 0
+    hashes, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    while lo < n:
+        hi = min(n, lo + SEGMENT)
+        while hi < n and inside[data[hi]]:
+            gap = np.flatnonzero(~inside[data[hi : hi + SEGMENT]])
+            hi = min(n, hi + (int(gap[0]) if len(gap) else SEGMENT))
+        a, b = np.searchsorted(offsets, [lo, hi])
+        h, s = _word_ends(data[lo:hi], offsets[a:b] - lo, inside)
+        hashes.append(h)
+        starts.append(s + lo)
+        lo = hi
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

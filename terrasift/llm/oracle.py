@@ -56,9 +56,9 @@ WITH RECURSIVE words AS (
   SELECT doc_id, unnest(list_distinct([array_to_string(w[i:i + least(5, len(w)) - 1], ' ') FOR i IN range(1, len(w) - least(5, len(w)) + 2)])) AS s
   FROM words WHERE len(w) > 0
 ), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1), pairs AS (
-  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n_both FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
 ), links AS (
-  SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * both >= 75 * (p.n + q.n - both)
+  SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * n_both >= 75 * (p.n + q.n - n_both)
 ), edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links), reach AS (
   SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x
 )
