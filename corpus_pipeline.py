@@ -29,13 +29,17 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, range-sorted by training position."""
     return curriculum.mixed_documents(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Id blocks with Elias-Fano boundaries; doc_id, start, n_tokens, ids_crc32 as read back."""
-    return token_ids.token_output(docs, tokenizer_path("byte_bpe_50k.json"))
+    """Id blocks with Elias-Fano boundaries; doc_id, start, n_tokens, ids_crc32 as read back, and position.
+
+    Files are in ascending doc_id; ``position`` ascends in the order in which the mixing stage wrote
+    its rows, so a trainer takes the documents in that order by ``select``.
+    """
+    return token_ids.token_output(docs, tokenizer_path("byte_bpe_50k.json"), position=token_ids.row_order(docs))
 
 
 STAGES = [

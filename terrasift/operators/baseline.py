@@ -69,19 +69,35 @@ def seasonal_baseline(
     Robust: interpolated median and 1.4826 times the interpolated median deviation;
     raw: mean and population deviation. Sigma never falls below its floor.
     """
-    slots = seasonal_slots(series, column, years, tolerance)
-    if robust:
-        centred = slots.groupBy("uid", "ord", "value").agg(F.median("prior").alias("centre"), F.collect_list("prior").alias("_all"))
-        spread = centred.select("uid", "ord", "value", "centre", F.explode("_all").alias("p")).groupBy("uid", "ord", "value", "centre")
-        base = spread.agg((MAD * F.median(F.abs(F.col("p") - F.col("centre")))).alias("spread"), F.count("p").alias("n_slots"))
-    else:
-        base = slots.groupBy("uid", "ord", "value").agg(F.avg("prior").alias("centre"), F.stddev_pop("prior").alias("spread"), F.count("prior").alias("n_slots"))
-    sigma = F.greatest("spread", F.lit(sigma_floor))
-    out = base.where(F.col("n_slots") >= min_slots).withColumn("sigma", sigma)
-    return out.select("uid", "ord", "value", "centre", "sigma", "n_slots", ((F.col("value") - F.col("centre")) / F.col("sigma")).alias("z"))
-
-
-def change_mask(scored: DataFrame, k_sigma: float = 2.5, min_delta: float = 0.10, up: bool = True) -> DataFrame:
+    both = anomaly_scores(series, column, years, tolerance, sigma_floor, min_slots)
+    kind = "robust" if robust else "raw"
+    return both.select("uid", "ord", "value", *[F.col(f"{kind}_{c}").alias(c) for c in ("centre", "sigma")], "n_slots", F.col(f"{kind}_z").alias("z"))
+
+
+def middle(values: Column) -> Column:
+    """The interpolated median of a sorted array."""
+    n = F.size(values)
+    at = lambda i: F.get(values, F.floor(i).cast("int"))
+    return F.when(n > 0, (at((n - 1) / 2) + at(n / 2)) / 2)
+
+
+def anomaly_scores(series: DataFrame, column: str, years=(1, 2, 3), tolerance: int = 1, sigma_floor: float = 0.04, min_slots: int = 3) -> DataFrame:
+    """uid, ord, value, n_slots and centre, sigma, z of both scores, ``robust_`` and ``raw_``, in one group-by.
+
+    The priors of a target (at most nine by default) stand in one sorted array, whose median and median
+    deviation are read off in place.
+    """
+    slots = seasonal_slots(series, column, years, tolerance).where("prior is not null")
+    d = slots.groupBy("uid", "ord", "value").agg(F.array_sort(F.collect_list("prior")).alias("_p"), F.avg("prior").alias("raw_centre"), F.stddev_pop("prior").alias("_sd"))
+    d = d.withColumn("n_slots", F.size("_p").cast("long")).where(F.col("n_slots") >= min_slots).withColumn("robust_centre", middle(F.col("_p")))
+    d = d.withColumn("_d", F.array_sort(F.transform("_p", lambda v: F.abs(v - F.col("robust_centre")))))
+    floor = F.lit(sigma_floor)
+    d = d.withColumns({"robust_sigma": F.greatest(MAD * middle(F.col("_d")), floor), "raw_sigma": F.greatest(F.col("_sd"), floor)})
+    z = lambda kind: ((F.col("value") - F.col(f"{kind}_centre")) / F.col(f"{kind}_sigma")).alias(f"{kind}_z")
+    return d.select("uid", "ord", "value", "n_slots", "robust_centre", "robust_sigma", z("robust"), "raw_centre", "raw_sigma", z("raw"))
+
+
+def change_mask(scored: DataFrame, k_sigma=2.5, min_delta: float = 0.10, up: bool = True) -> DataFrame:
     """Adds ``changed``: z and difference both reach their thresholds, in one direction."""
     sign = 1 if up else -1
     d = sign * (F.col("value") - F.col("centre"))

@@ -13,27 +13,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrasift.functions.session import checkpointed
+from terrasift.functions.session import checkpointed, ship
+from terrasift.operators.geometry import LAT_M, pixel_centre
+from terrasift.operators.graph import components as graph_components
+from terrasift.operators.graph import folded
 
 
 def label_cells(y: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """8-connected component of each cell: the index of its first cell in row order."""
-    at = {c: i for i, c in enumerate(zip(y.tolist(), x.tolist(), strict=True))}
-    parent = list(range(len(y)))
+    """8-connected component of each cell of a mask sorted by row, then column: the index of its first cell.
 
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for (cy, cx), i in at.items():
-        for dy, dx in ((-1, -1), (-1, 0), (-1, 1), (0, -1)):
-            j = at.get((cy + dy, cx + dx))
-            if j is not None:
-                a, b = root(i), root(j)
-                parent[max(a, b)] = min(a, b)
-    return np.array([root(i) for i in range(len(y))], dtype=np.int64)
+    Cells are cut into runs of neighbours in a row; runs of adjacent rows that touch, found by binary
+    search, are the edges of a small graph.
+    """
+    if not len(y):
+        return np.zeros(0, np.int64)
+    y, x = y.astype(np.int64) - int(y.min()), x.astype(np.int64) - int(x.min()) + 1
+    width = int(x.max()) + 2
+    key = y * width + x
+    begin = np.flatnonzero(np.concatenate([[True], np.diff(key) != 1]))
+    end = np.concatenate([begin[1:], [len(key)]]) - 1
+    lo = np.searchsorted(key[end], key[begin] + width - 1, "left")
+    hi = np.searchsorted(key[begin], key[end] + width + 1, "right")
+    n = np.maximum(hi - lo, 0)
+    above = np.repeat(np.arange(len(begin)), n)
+    below = np.repeat(lo, n) + np.arange(len(above)) - np.repeat(np.cumsum(n) - n, n)
+    label = np.arange(len(begin))
+    nodes, least = folded(above, below)
+    label[nodes] = least
+    return np.repeat(begin[label], end - begin + 1)
 
 
 def components(mask: DataFrame, keys=("uid",), min_size: int = 6) -> DataFrame:
@@ -41,6 +48,7 @@ def components(mask: DataFrame, keys=("uid",), min_size: int = 6) -> DataFrame:
 
     Labels count from 1 within each raster, in row order of the components' first cells.
     """
+    ship(mask.sparkSession)
     fields = [f for f in mask.schema.fields if f.name in keys]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -99,6 +107,7 @@ def least_rectangle(points: np.ndarray) -> float:
 
 def rectangularity(labelled: DataFrame, keys=("uid",)) -> DataFrame:
     """keys, label, rectangularity: cells over the least rectangle around their centres, at most 1; null for degenerate ones."""
+    ship(labelled.sparkSession)
     fields = [f for f in labelled.schema.fields if f.name in (*keys, "label")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -120,26 +129,20 @@ def tiles(width: int, height: int, tile: int = 64, overlap: int = 16):
 def tiled_components(mask: DataFrame, keys=("uid",), tile: int = 64, overlap: int = 16, min_size: int = 6) -> DataFrame:
     """The same components as ``components``, labelled per tile and merged across them.
 
-    Only cells in overlaps link tiles; links are joined by label propagation over the
-    (small) table of tile components, and sizes are tested after merging.
+    Only cells in overlaps link tiles; links are contracted to components in a logarithmic
+    number of rounds over the (small) table of tile components, and sizes are tested after merging.
     """
     step = tile - overlap
     reach = lambda c: F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - tile) / step) + 1), F.floor(F.col(c) / step)))
     dealt = mask.withColumn("iy", reach("y")).withColumn("ix", reach("x"))
     local = components(dealt.select(*keys, "iy", "ix", "y", "x"), (*keys, "iy", "ix"), 1)
     piece = F.xxhash64(*keys, "iy", "ix", "label")
-    named = local.withColumn("piece", piece)
+    named = checkpointed(local.withColumn("piece", piece))
     shared = named.groupBy(*keys, "y", "x").agg(F.min("piece").alias("low"), F.collect_set("piece").alias("pieces"))
     links = shared.where(F.size("pieces") > 1).select("low", F.explode("pieces").alias("piece")).where("low <> piece").distinct()
-    label = named.select("piece").distinct().withColumn("root", F.col("piece"))
-    while True:
-        both = links.select(F.col("low").alias("a"), F.col("piece").alias("b")).union(links.select("piece", "low"))
-        near = both.join(label, F.col("b") == F.col("piece")).groupBy("a").agg(F.min("root").alias("near"))
-        nxt = checkpointed(label.join(near, F.col("piece") == F.col("a"), "left").select("piece", F.least("root", F.coalesce("near", "root")).alias("root"), F.col("root").alias("old")))
-        label = nxt.select("piece", "root")
-        if nxt.where("old <> root").isEmpty():
-            break
-    cells = named.join(label, "piece").select(*keys, "y", "x", "root").distinct()
+    root = graph_components(links.select(F.col("low").alias("a"), F.col("piece").alias("b"))).select(F.col("node").alias("_node"), F.col("label").alias("_root"))
+    joined = named.join(root, F.col("piece") == F.col("_node"), "left").withColumn("root", F.coalesce("_root", "piece"))
+    cells = joined.select(*keys, "y", "x", "root").distinct()
     whole = Window.partitionBy(*keys, "root")
     kept = cells.withColumn("_n", F.count("*").over(whole)).where(F.col("_n") >= min_size)
     first = kept.withColumn("_first", F.min(F.struct("y", "x")).over(whole))
@@ -152,6 +155,42 @@ def component_score(area: Column, rect: Column, near: Column, mmu: float = 8000.
     return F.bround(size * F.coalesce(0.6 + 0.8 * rect, F.lit(1.0)) * F.coalesce(1 / (1 + near / 500), F.lit(1.0)), 4)
 
 
+def rank_disturbances(measured: DataFrame, grid: DataFrame, k: int | None = None, keys=("uid",)) -> DataFrame:
+    """Adds area_m2, the centroid's lon and lat, dist_to_point_m, score and rank to measured components.
+
+    ``measured`` as from ``measures``, with ``rectangularity`` and ``dist_to_building_m`` (null: unknown);
+    ``grid(uid, west, north, dx, dy, px_area, point_lon, point_lat)`` has one row a site.
+    """
+    d = measured.join(grid, "uid").withColumn("area_m2", F.col("n_px") * F.col("px_area"))
+    lon, lat = pixel_centre(F.col("cx"), F.col("cy"), F.col("west"), F.col("north"), F.col("dx"), F.col("dy"))
+    d = d.withColumns({"_lon": lon, "_lat": lat})
+    here = F.sqrt(F.pow((F.col("point_lon") - F.col("_lon")) * F.cos(F.radians("_lat")), 2) + F.pow(F.col("point_lat") - F.col("_lat"), 2)) * LAT_M
+    near = F.coalesce("dist_to_building_m", here)
+    d = d.withColumns({"lon": F.bround("_lon", 7), "lat": F.bround("_lat", 7), "dist_to_point_m": F.bround(here, 1), "score": component_score(F.col("area_m2"), F.col("rectangularity"), near)})
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("score").desc(), "label"))
+    d = d.withColumn("rank", rank).drop("_lon", "_lat", "west", "north", "dx", "dy", "px_area", "point_lon", "point_lat")
+    return d if k is None else d.where(F.col("rank") <= k)
+
+
 def top_components(scored: DataFrame, k: int = 5, keys=("uid",)) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("score").desc(), "label"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def largest_component(measured: DataFrame, keys=("uid",)) -> DataFrame:
+    """The component with the most cells of each raster; the first label on a tie."""
+    order = Window.partitionBy(*keys).orderBy(F.col("n_px").desc(), "label")
+    return measured.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
+
+
+def later_persistence(labelled: DataFrame, masks: DataFrame, keys=("uid",)) -> DataFrame:
+    """keys, label, persistence: the share of later masks that still hold half of a component's cells or more.
+
+    ``masks(keys, ord, y, x)`` are the cells of the later masks; a mask without a cell is not known to be one.
+    """
+    size = labelled.groupBy(*keys, "label").agg(F.count("*").alias("_n"))
+    looks = masks.groupBy(*keys).agg(F.count_distinct("ord").alias("_looks"))
+    held = labelled.join(masks, [*keys, "y", "x"]).groupBy(*keys, "label", "ord").agg(F.count("*").alias("_held"))
+    hits = held.join(size, [*keys, "label"]).where(F.col("_held") >= F.greatest(F.lit(1), F.floor(0.5 * F.col("_n")))).groupBy(*keys, "label").agg(F.count("*").alias("_hits"))
+    d = size.join(looks, list(keys)).join(hits, [*keys, "label"], "left")
+    return d.select(*keys, "label", F.bround(F.coalesce("_hits", F.lit(0)) / F.col("_looks"), 3).alias("persistence"))

@@ -70,48 +70,77 @@ def unmix(pixels: DataFrame, spectra: np.ndarray = LIBRARY, names=ENDMEMBERS, sl
     All subsets of endmembers are solved in closed form as plain column arithmetic; the
     feasible one of least error wins, the lowest subset mask on a tie. No Python runs.
     """
-    dot = lambda row, offset: sum((F.lit(float(w)) * F.col(b) for w, b in zip(row, BANDS, strict=True)), F.lit(float(offset)))
-    # in stages, so that each generated expression stays small enough to compile
+    # a null band is -1, which no subset takes as a fraction of 1; without nulls the generated code stays within one method
     subsets = unmix_subsets(spectra)
-    p = pixels.withColumns({f"_f{mask}_{m}": dot(gain[k], offset[k]) for mask, members, gain, offset in subsets for k, m in enumerate(members)})
+    r = {b: F.col(f"_r{b}") for b in BANDS}
+    dot = lambda row, offset: sum((F.lit(float(w)) * r[b] for w, b in zip(row, BANDS, strict=True)), F.lit(float(offset)))
+    p = pixels.withColumns({f"_r{b}": F.coalesce(F.col(b).cast("double"), F.lit(-1.0)) for b in BANDS})
+    p = p.withColumns({f"_f{mask}_{m}": dot(gain[k], offset[k]) for mask, members, gain, offset in subsets for k, m in enumerate(members)})
     errors = {}
-    for mask, members, _, _ in subsets:
+    for mask, members, gain, offset in subsets:
+        # what a subset leaves of a spectrum is linear in it too
+        left, rest = spectra[list(members)].T @ gain - np.eye(len(BANDS)), spectra[list(members)].T @ offset
         error = F.lit(0.0)
-        for j, b in enumerate(BANDS):
-            d = sum((F.col(f"_f{mask}_{m}") * F.lit(float(spectra[m, j])) for m in members), F.lit(0.0)) - F.col(b)
-            error = error + d * d
+        for j in range(len(BANDS)):
+            d = dot(left[j], rest[j])
+            error = error + F.pow(d, F.lit(2.0))
         feasible = F.lit(True)
         for m in members:
             feasible = feasible & (F.col(f"_f{mask}_{m}") >= -slack)
-        errors[f"_e{mask}"] = F.when(feasible, error)
+        errors[f"_e{mask}"] = F.when(feasible, error).otherwise(F.lit(float("inf")))
     p = p.withColumns(errors)
-    p = p.withColumn("_best", F.array_min(F.array(*[F.when(F.col(f"_e{mask}").isNotNull(), F.struct(F.col(f"_e{mask}").alias("error"), F.lit(mask).alias("mask"))) for mask, *_ in subsets])))
+    p = p.withColumn("_least", F.least(*[F.col(f"_e{mask}") for mask, *_ in subsets]))
+    best = None
+    for mask, *_ in sorted(subsets, key=lambda x: x[0]):
+        best = F.when(F.col(f"_e{mask}") == F.col("_least"), mask) if best is None else best.when(F.col(f"_e{mask}") == F.col("_least"), mask)
+    p = p.withColumn("_best", best)
 
     def chosen(i: int) -> Column:
-        c = F.lit(0.0)
+        c = None
         for mask, members, _, _ in subsets:
             if i in members:
-                c = F.when(F.col("_best.mask") == mask, F.col(f"_f{mask}_{i}")).otherwise(c)
-        return c
+                c = F.when(F.col("_best") == mask, F.col(f"_f{mask}_{i}")) if c is None else c.when(F.col("_best") == mask, F.col(f"_f{mask}_{i}"))
+        return F.greatest(c.otherwise(0.0), F.lit(0.0))
 
     p = p.withColumns({f"_raw_{n}": chosen(i) for i, n in enumerate(names)})
-    clipped = [F.greatest(F.col(f"_raw_{n}"), F.lit(0.0)) for n in names]
-    total = sum(clipped[1:], clipped[0])
-    p = p.withColumn("_total", total)
-    p = p.withColumns({n: c / F.col("_total") for n, c in zip(names, clipped, strict=True)})
+    p = p.withColumn("_total", sum((F.col(f"_raw_{n}") for n in names[1:]), F.col(f"_raw_{names[0]}")))
+    p = p.withColumns({n: F.col(f"_raw_{n}") / F.col("_total") for n in names})
     error = F.lit(0.0)
     for j, b in enumerate(BANDS):
         d = sum((F.col(n) * F.lit(float(spectra[i, j])) for i, n in enumerate(names)), F.lit(0.0)) - F.col(b)
         error = error + d * d
     p = p.withColumn("rmse", F.sqrt(error / len(BANDS)))
-    return p.drop(*[c for c in p.columns if c.startswith(("_f", "_e", "_raw_")) or c in ("_best", "_total")])
+    return p.drop(*[c for c in p.columns if c.startswith(("_r", "_f", "_e")) or c in ("_best", "_total", "_least")])
 
 
-def site_period(fractions: DataFrame, pixel_area: float, tau: float = 0.5, names=ENDMEMBERS) -> DataFrame:
-    """One row per site period: n, mean fractions, rmse, and the area above ``tau`` of each."""
+def site_period(fractions: DataFrame, pixel_area: float, tau: float = 0.5, names=ENDMEMBERS, sizes: DataFrame | None = None) -> DataFrame:
+    """One row per site period: n, mean fractions, rmse, and the area above ``tau`` of each.
+
+    With ``sizes(uid, n_grid, n_aoi_px)`` also valid_frac, the share of the grid, and clear_frac, the share of the site's own area, at most 1.
+    """
     means = [F.avg(n).alias(n) for n in (*names, "rmse")]
     areas = [(F.count_if(F.col(n) >= tau) * F.lit(pixel_area)).alias(f"{n}_area") for n in names]
-    return fractions.groupBy("uid", "ord").agg(F.count("*").alias("n"), *means, *areas)
+    s = fractions.groupBy("uid", "ord").agg(F.count("*").alias("n"), *means, *areas)
+    if sizes is None:
+        return s
+    d = s.join(sizes, "uid").withColumns({"valid_frac": F.col("n") / F.col("n_grid"), "clear_frac": F.least(F.col("n") / F.col("n_aoi_px"), F.lit(1.0))})
+    return d.drop("n_grid")
+
+
+def index_means(pixels: DataFrame, keys=("uid", "ord"), least: int = 20) -> DataFrame:
+    """keys, n, ndvi, ndbi, swir: the mean of each pixel's index (not the index of the means); keys with too few pixels are left out."""
+    s = with_indices(physical(pixels)).groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in ("ndvi", "ndbi", "swir")])
+    return s.where(F.col("n") >= least)
+
+
+#: The direction in which a start is expected to move each metric.
+EXPECTED = {"soil": 1, "high_albedo": 1, "vegetation": -1, "low_albedo": 1, "ndvi": -1, "ndbi": 1, "swir": 1}
+
+
+def oriented(metric: Column, value: Column) -> Column:
+    """The value with the sign that makes a start positive; null for an unknown metric."""
+    signs = F.create_map(*[F.lit(x) for pair in EXPECTED.items() for x in pair])
+    return F.try_element_at(signs, metric) * value
 
 
 def distribution(values: DataFrame, column: str, keys=("uid",)) -> DataFrame:
@@ -137,6 +166,15 @@ def sampled(pixels: DataFrame, per_period: int = 4000, per_site: int = 60_000, s
     return b.drop("_h", "_k")
 
 
+#: Spectra that the search for corners holds, of all sites together: the model is fitted on this bounded sample.
+POOL = 300_000
+
+
+def search_pool(sample: DataFrame, most: int = POOL, seed: int = 0) -> DataFrame:
+    """The trimmed sample, and of a larger one the first ``most`` pixels by a hash."""
+    return trimmed(sample).orderBy(F.xxhash64(F.lit(seed), "uid", "ord", "y", "x"), "uid", "ord", "y", "x").limit(most)
+
+
 def endmembers(pool: np.ndarray, sweeps: int = 60, tries: int = 512, near: int = 200, seed: int = 0) -> tuple[dict[str, list[float]], list[str]]:
     """The corners of a bounded pixel pool (n, 6): largest simplex in three principal components,
     each corner smoothed by the median of its neighbours, and labelled by its shape."""
@@ -163,29 +201,39 @@ def endmembers(pool: np.ndarray, sweeps: int = 60, tries: int = 512, near: int =
 
 
 def label_endmembers(spectra: np.ndarray) -> tuple[dict[str, list[float]], list[str]]:
-    """Names claimed in turn: vegetation by NDVI, soil by its rise to short-wave infrared, then the brightest, then the darkest."""
+    """Names claimed in turn: vegetation by NDVI, soil by its rise to short-wave infrared, then the brightest, then the darkest.
+
+    What is left takes the names left by brightness, and is noted; so are ice-like corners and a bright one that isn't.
+    """
     b, notes = spectra, []
     ndvi = (b[:, 3] - b[:, 2]) / (b[:, 3] + b[:, 2] + 1e-6)
     bright, contrast = b.mean(axis=1), b[:, 4] - b[:, 3]
     ice = (bright > 0.24) & (contrast < -0.10) & (ndvi < 0.40)
     left, out = list(range(len(b))), {}
 
-    def claim(name, score, allowed):
-        options = [i for i in left if allowed(i)]
+    def claim(name, score, allowed=None) -> bool:
+        options = [i for i in left if allowed is None or allowed[i]]
         if options:
-            best = max(options, key=lambda i: score[i])
-            out[name] = best
-            left.remove(best)
-        else:
-            notes.append(f"{name}: no candidate of its shape")
-
-    claim("vegetation", ndvi, lambda i: True)
-    claim("soil", contrast, lambda i: contrast[i] > 0 and not ice[i])
-    claim("high_albedo", bright, lambda i: not ice[i])
-    claim("low_albedo", -bright, lambda i: True)
+            out[name] = max(options, key=lambda i: score[i])  # the first on a tie
+            left.remove(out[name])
+        return bool(options)
+
+    claim("vegetation", ndvi)
+    claim("soil", contrast, (contrast > 0) & ~ice)
+    bright_found = claim("high_albedo", bright, ~ice)
+    claim("low_albedo", -bright)
     for name in ENDMEMBERS:
         if name not in out:
-            out[name] = left.pop(0)
-    if bright[out["high_albedo"]] < 0.20 or bright[out["high_albedo"]] <= bright[out["soil"]]:
-        notes.append("high_albedo: not reliably bright")
+            claim(name, bright)
+            notes.append(f"{name}: no vertex matched its shape rule; filled by brightness rank — fractions for it are not trustworthy")
+    if ice.any():
+        notes.append(f"{int(ice.sum())} of 4 vertices look like cloud/snow (bright with SWIR collapse) — CLP masking did not remove them from the endmember pool")
+    high, soil = bright[out["high_albedo"]], bright[out["soil"]]
+    if high < 0.20 or high <= soil:
+        notes.append(
+            f"UNRELIABLE: 'high_albedo' vertex has brightness {high:.3f} (dimmer than soil at {soil:.3f}) — this pixel pool contains no bright impervious surface, "
+            "so the high/low albedo fractions are not interpretable. Vegetation and soil remain valid."
+        )
+    if not bright_found:
+        notes.append("no non-ice bright vertex available for high_albedo")
     return {n: b[out[n]].tolist() for n in ENDMEMBERS}, notes

@@ -17,7 +17,9 @@ from terrasift.operators import onset as O
 from terrasift.operators import raster as R
 from terrasift.operators import rules as U
 from terrasift.operators import spectral as S
+from terrasift.operators import zones as Z
 from terrasift.plans.bindings import ANCHORS, LATTICE, PIXELS, SERIES, anchors, lattice, pixels, r6, series, table
+from terrasift.sources import documents as X
 from terrasift.sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,6 +117,30 @@ def change_mask(spark, sf):
     return B.change_mask(_robust(spark, sf), 2.0, 0.03).select("uid", "ord", "changed")
 
 
+@query(f"WITH {_SLOTS} SELECT uid, ord, (value - centre) / sigma <= -2.0 AND value - centre <= -0.03 AS changed FROM robust")
+def change_mask_down(spark, sf):
+    return B.change_mask(_robust(spark, sf), 2.0, 0.03, up=False).select("uid", "ord", "changed")
+
+
+@query(
+    f"WITH {_SLOTS}, plain AS (SELECT uid, ord, value, avg(prior) AS mean, greatest(stddev_pop(prior), 0.01::DOUBLE) AS sd FROM slots GROUP BY 1, 2, 3 HAVING count(*) >= 3) "
+    f"SELECT r.uid, r.ord, {_r('(r.value - centre) / sigma')} AS robust_z, {_r('(r.value - mean) / sd')} AS raw_z FROM robust r JOIN plain b ON b.uid = r.uid AND b.ord = r.ord"
+)
+def anomaly_scores(spark, sf):
+    d = B.anomaly_scores(series(spark, sf), "ndbi", sigma_floor=0.01)
+    return d.select("uid", "ord", r6(F.col("robust_z")).alias("robust_z"), r6(F.col("raw_z")).alias("raw_z"))
+
+
+@query(
+    f"WITH {_SLOTS}, k AS (SELECT unnest([2.0, 2.5, 4.0, 8.0, 16.0])::DOUBLE AS k_sigma) "
+    "SELECT k_sigma, count(*) AS n, count(*) FILTER ((value - centre) / sigma >= k_sigma AND value - centre >= 0.03) AS changed FROM robust CROSS JOIN k GROUP BY 1"
+)
+def k_sigma_sweep(spark, sf):
+    d = _robust(spark, sf).withColumn("k_sigma", F.explode(F.array(*map(F.lit, (2.0, 2.5, 4.0, 8.0, 16.0)))))
+    d = B.change_mask(d, F.col("k_sigma"), 0.03)
+    return d.groupBy("k_sigma").agg(F.count("*").alias("n"), F.count_if("changed").alias("changed"))
+
+
 def _w(x: str, lo: int, hi: int, f: str = "max") -> str:
     b = lambda k: f"{-k} PRECEDING" if k < 0 else "CURRENT ROW"
     return f"{f}({x}) OVER (PARTITION BY uid ORDER BY ord RANGE BETWEEN {b(lo)} AND {b(hi)})"
@@ -238,13 +264,33 @@ def latest_call(spark, sf):
     return O.latest_call(O.run_causal(_observed(spark, sf)))
 
 
-@query(
-    f"WITH RECURSIVE {_CLEAR}, {_R1}, first AS (SELECT uid, arg_min(coalesce(p, ord), ord) FILTER (state IN ('provisional_start', 'confirmed_start')) AS first_changed FROM calls GROUP BY uid) "
+_BRACKET = (
+    "first AS (SELECT uid, arg_min(coalesce(p, ord), ord) FILTER (state IN ('provisional_start', 'confirmed_start')) AS first_changed FROM calls GROUP BY uid), bracket AS ("
     "SELECT uid, first_changed, max(ord) FILTER (NOT changed_now AND state <> 'insufficient_evidence' AND ord < first_changed) AS last_unchanged, "
-    "count(*) FILTER (NOT changed_now AND state <> 'insufficient_evidence') AS n_clear_before, count(*) FILTER (changed_now) AS n_clear_after FROM calls JOIN first USING (uid) GROUP BY 1, 2"
+    "count(*) FILTER (NOT changed_now AND state <> 'insufficient_evidence') AS n_clear_before, count(*) FILTER (changed_now) AS n_clear_after FROM calls JOIN first USING (uid) GROUP BY 1, 2), "
+    f"dated AS (SELECT *, CAST({_START.format('last_unchanged')} AS DATE) AS lo, CAST({_START.format('first_changed + 1')} AS DATE) AS hi FROM bracket)"
+)
+
+
+@query(
+    f"WITH RECURSIVE {_CLEAR}, {_R1}, {_BRACKET} SELECT uid, first_changed, last_unchanged, n_clear_before, n_clear_after, CAST(lo AS VARCHAR) AS last_unchanged_date, CAST(hi AS VARCHAR) AS first_changed_date, "
+    "last_unchanged IS NOT NULL AND first_changed IS NOT NULL AS is_bounded, CAST(hi - lo AS INTEGER) AS width_days, concat_ws('|', CASE WHEN first_changed IS NULL THEN 'no change ever detected: interval is open at the right' END, "
+    "CASE WHEN last_unchanged IS NULL AND first_changed IS NOT NULL THEN 'no confirmed-unchanged observation before the first change: interval is open at the left, the start may predate the record' END, "
+    "CASE WHEN hi - lo > 45 THEN 'bracket is ' || (hi - lo) || ' days wide — cloud-limited; do not score this site to the fortnight' END) AS notes FROM dated"
 )
 def start_interval(spark, sf):
-    return O.start_interval(O.run_causal(_observed(spark, sf)))
+    d = O.start_interval(O.run_causal(_observed(spark, sf)))
+    return d.withColumns({"notes": F.array_join("notes", "|"), **{c: F.col(c).cast("string") for c in ("last_unchanged_date", "first_changed_date")}})
+
+
+@query(
+    f"WITH RECURSIVE {_CLEAR}, {_R1}, {_BRACKET}, {ANCHORS} SELECT b.uid, coalesce(anchor > last_unchanged AND anchor <= first_changed, false) AS contains, "
+    "anchor > last_unchanged - 24 AND anchor <= first_changed + 24 AS agrees FROM bracket b JOIN anchors a ON a.uid = b.uid"
+)
+def interval_predicates(spark, sf):
+    s = series(spark, sf)
+    d = O.start_interval(O.run_causal(_observed(spark, sf))).join(anchors(s), "uid")
+    return O.interval_agrees(O.interval_contains(d, "anchor"), "anchor", 24).select("uid", "contains", "agrees")
 
 
 @query(
@@ -309,6 +355,25 @@ def hit_classification(spark, sf):
 
 
 
+def _tau_looks(spark, sf):
+    s = series(spark, sf)
+    span = s.groupBy("uid").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"))
+    dense = span.select("uid", F.explode(F.sequence("lo", "hi")).alias("ord")).join(B.causal_delta(s, "ndbi").select("uid", "ord", "delta"), ["uid", "ord"], "left")
+    each = dense.select("uid", "ord", "delta", F.explode(F.array(*map(F.lit, _TAUS))).alias("tau"))
+    return each.select("tau", "uid", F.col("delta").isNotNull().alias("clear"), F.coalesce(F.col("delta") > F.col("tau"), F.lit(False)).alias("changed")).join(anchors(s), "uid")
+
+
+@query(
+    f"WITH RECURSIVE {_SWEEP}, s AS (SELECT tau, count(*) FILTER (is_positive) AS np, count(*) FILTER (NOT is_positive) AS nn, count(*) FILTER (is_positive AND onset BETWEEN anchor - 2 AND anchor + 6) AS h, "
+    "count(*) FILTER (is_positive AND onset < anchor - 2) AS e, count(*) FILTER (NOT is_positive AND onset IS NOT NULL) AS f, median(onset - anchor) FILTER (is_positive AND onset BETWEEN anchor - 2 AND anchor + 6) AS lag FROM found GROUP BY tau), "
+    "w AS (SELECT tau, count(*) FILTER (clear AND changed) AS flags, count(*) FILTER (clear) AS looks FROM obs JOIN anchors a ON a.uid = obs.u WHERE NOT is_positive GROUP BY tau) "
+    f"SELECT tau, {_r('h / np')} AS detect, CAST(lag AS DOUBLE) AS median_lag, {_r('f / nn')} AS fa, {_r('e / np')} AS early, {_r('flags / looks')} AS per_window, {_r('CASE WHEN h + f + e > 0 THEN h / (h + f + e) END')} AS precision FROM s JOIN w USING (tau)"
+)
+def tau_summary(spark, sf):
+    d = E.tau_summary(_swept(spark, sf).withColumnRenamed("anchor", "start"), _tau_looks(spark, sf), 6)
+    return d.select("tau", "median_lag", *[r6(F.col(c)).alias(c) for c in ("detect", "fa", "early", "per_window", "precision")])
+
+
 _GATE = (
     f"{SERIES}, zone AS (SELECT uid, ord, n * 4000.0 AS area, round_even(ndbi, 3) AS pct FROM series), ring AS (SELECT uid + 1 AS uid, ord, round_even(ndbi, 3) AS pct FROM series), "
     "obs AS (SELECT z.uid, z.ord, true AS clear, z.area >= 8000 AND z.pct >= 0.9::DOUBLE * r.pct AS changed FROM zone z JOIN ring r ON r.uid = z.uid AND r.ord = z.ord)"
@@ -330,6 +395,23 @@ def ring_diff(spark, sf):
     return s.join(ring, ["uid", "ord"]).select("uid", "ord", r6(F.col("pct") - F.col("ring")).alias("diff"))
 
 
+_RATIOS = (1.0, 1.5, 2.0, 3.0, 5.0)
+_RATIO_GATE = (
+    f"{SERIES}, ratios AS (SELECT unnest([{', '.join(map(str, _RATIOS))}])::DOUBLE AS ratio), zone AS (SELECT uid, ord, n * 4000.0 AS area, round_even(ndbi, 3) AS pct FROM series), "
+    "ring AS (SELECT uid + 1 AS uid, ord, round_even(ndbi, 3) / 2 AS pct FROM series), "
+    "obs AS (SELECT z.uid || '/' || ratio AS uid, z.uid AS u, ratio, z.ord, true AS clear, z.area >= 8000 AND z.pct >= ratio * r.pct AS changed FROM zone z JOIN ring r ON r.uid = z.uid AND r.ord = z.ord CROSS JOIN ratios)"
+)
+
+
+@query(f"WITH RECURSIVE {_RATIO_GATE}, {_R1}, first AS ({_FIRST}), named AS (SELECT DISTINCT uid, u, ratio FROM obs) SELECT ratio, u AS uid, onset FROM first JOIN named USING (uid)")
+def ring_ratio_sweep(spark, sf):
+    s = series(spark, sf)
+    zone = s.select("uid", "ord", (F.col("n") * 4000.0).alias("area"), F.bround("ndbi", 3).alias("pct"))
+    ring = s.select((F.col("uid") + 1).alias("uid"), "ord", (F.bround("ndbi", 3) / 2).alias("pct"))
+    swept = O.ring_gate(zone, ring, _RATIOS)
+    return O.first_confirmed(O.run_causal(swept, ("ratio", "uid")), ("ratio", "uid"))
+
+
 # ----------------------------------------------------------------- evaluation
 
 
@@ -402,8 +484,8 @@ def bootstrap_auc(spark, sf):
 @query()
 def bootstrap_verdict(spark, sf):
     """One-sample intervals of the real and the placebo arm, and the verdict on them."""
-    arm = lambda shift: E.bootstrap(_scored(spark, sf, shift).select(F.lit("ndbi").alias("metric"), F.col("score").alias("value"), "is_positive"), "mean")
-    return E.verdict(arm(0), arm(24))
+    arm = lambda shift, seed: E.bootstrap(_scored(spark, sf, shift).select(F.lit("ndbi").alias("metric"), F.col("score").alias("value"), F.col("uid").alias("input_order")), "mean", seed=seed)
+    return E.verdict(arm(0, 0), arm(24, 1))
 
 
 def _areas(spark, sf, which):
@@ -473,9 +555,16 @@ def class_guard(spark, sf):
     return T.class_guard(p, n)
 
 
-@query("SELECT c_custkey AS uid FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey AS uid FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def anti_truth(spark, sf):
-    return _cust(spark, sf).join(table(spark, sf, "orders").select(F.col("o_custkey").alias("uid")), "uid", "left_anti").select("uid")
+    truth = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("uid"))
+    return _cust(spark, sf).join(truth, "uid", "left_anti").select("uid")
+
+
+@query("SELECT c_custkey AS uid, CAST(i AS INTEGER) AS ord FROM customer CROSS JOIN range(1, 5) t(i) WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND month(o_orderdate) = i)")
+def missing_jobs(spark, sf):
+    jobs = _cust(spark, sf).select("uid", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("ord"))
+    return T.missing_jobs(jobs, table(spark, sf, "orders").select(F.col("o_custkey").alias("uid"), F.month("o_orderdate").alias("ord")))
 
 
 @query(
@@ -527,6 +616,64 @@ def asof_plan(spark, sf):
     return U.plan_as_of(plans, looks).select("uid", F.col("obs_date").cast("string").alias("obs_date"), "plan")
 
 
+def _plan_rows(spark, sf):
+    k = F.col("s_suppkey")
+    day = lambda m: F.date_add(F.lit("1995-06-01").cast("date"), (k * m % 1500).cast("int"))
+    return table(spark, sf, "supplier").select(
+        F.col("s_nationkey").alias("uid"), k.alias("plan"), k.cast("string").alias("key"), k.cast("int").alias("at"), F.when(k % 11 > 0, day(17)).alias("document_date"), F.when(k % 3 == 0, day(29)).alias("revision_date"),
+        F.when(k % 5 == 0, day(41)).alias("public_date"), F.when(k % 7 == 0, "as_built").otherwise("phase").alias("plan_type"), (k % 5).cast("int").alias("n_rings"), (k % 90).cast("double").alias("residual"),
+        F.when(k % 5 > 0, "no public/filing date known -- usable_from is optimistic").otherwise("").alias("date_provenance"),
+    )
+
+
+_DAY = "CAST(DATE '1995-06-01' + CAST(s_suppkey * {} % 1500 AS INTEGER) AS DATE)"
+_PLAN_ROWS = (
+    f"plans AS (SELECT s_nationkey AS uid, s_suppkey AS plan, CASE WHEN s_suppkey % 11 > 0 THEN {_DAY.format(17)} END AS document_date, CASE WHEN s_suppkey % 3 = 0 THEN {_DAY.format(29)} END AS revision_date, "
+    f"CASE WHEN s_suppkey % 5 = 0 THEN {_DAY.format(41)} END AS public_date, CASE WHEN s_suppkey % 7 = 0 THEN 'as_built' ELSE 'phase' END AS plan_type, s_suppkey % 5 AS n_rings, s_suppkey % 90 AS residual, "
+    "CASE WHEN s_suppkey % 5 > 0 THEN 'no public/filing date known -- usable_from is optimistic' END AS prov FROM supplier), "
+    "looks AS (SELECT DISTINCT c_nationkey AS uid, CAST(date_trunc('year', o_orderdate) AS DATE) AS obs_date FROM orders JOIN customer ON o_custkey = c_custkey)"
+)
+
+
+def _plan_looks(spark, sf):
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("uid"), F.trunc("o_orderdate", "year").alias("obs_date")).distinct()
+
+
+@query(
+    f"WITH {_PLAN_ROWS}, usable AS (SELECT *, coalesce(least(document_date, revision_date), public_date) AS usable_from FROM plans WHERE plan_type <> 'as_built' AND n_rings > 0 AND residual <= 60) "
+    "SELECT l.uid, CAST(obs_date AS VARCHAR) AS obs_date, arg_max(plan, (usable_from, plan)) AS plan FROM looks l JOIN usable u ON u.uid = l.uid AND usable_from <= obs_date GROUP BY 1, 2"
+)
+def asof_plan_relaxed(spark, sf):
+    return U.plan_as_of(_plan_rows(spark, sf), _plan_looks(spark, sf), "relaxed").select("uid", F.col("obs_date").cast("string").alias("obs_date"), "plan")
+
+
+@query(
+    f"WITH {_PLAN_ROWS}, each AS (SELECT l.uid, obs_date, p.* EXCLUDE (uid), greatest(document_date, revision_date, public_date) AS gate FROM looks l JOIN plans p ON p.uid = l.uid), "
+    "why AS (SELECT *, CASE WHEN plan_type = 'as_built' THEN 'as-built plan: records what was built, circular' WHEN n_rings < 1 THEN 'no building rings' WHEN gate IS NULL THEN 'no usable date on the sheet' "
+    "WHEN gate > obs_date THEN 'strict: usable_from ' || gate || ' postdates observation ' || obs_date WHEN residual > 60 THEN 'residual ' || residual || '.0 m' END AS why FROM each), "
+    "kinds AS (SELECT *, CASE WHEN why LIKE 'residual%' THEN 'unusable georeferencing' ELSE 'temporal leakage' END AS kind, concat_ws('|', CASE WHEN why IS NULL AND residual > 15 THEN 'siteplan ' || plan || ': georeferencing residual ' || residual || '.0 m (> 15 m)' END, "
+    "CASE WHEN why IS NULL AND prov IS NOT NULL THEN 'siteplan ' || plan || ': ' || prov END) AS notes FROM why) "
+    "SELECT uid, CAST(obs_date AS VARCHAR) AS obs_date, coalesce(string_agg(CAST(plan AS VARCHAR), ',' ORDER BY plan) FILTER (why IS NULL), '') AS plan_keys, CAST(coalesce(sum(n_rings) FILTER (why IS NULL), 0) AS BIGINT) AS n_footprints, "
+    "CAST(max(gate) FILTER (why IS NULL) AS VARCHAR) AS siteplan_date, concat_ws('|', string_agg(notes, '|' ORDER BY plan) FILTER (notes <> ''), "
+    "string_agg('siteplan ' || plan || ' rejected (' || kind || '): ' || why, '|' ORDER BY plan) FILTER (why IS NOT NULL)) AS plan_warnings, CASE WHEN count(*) FILTER (why IS NULL) = 0 THEN arg_min(why, plan) END AS plan_refusal FROM kinds GROUP BY 1, 2"
+)
+def plan_gating(spark, sf):
+    d = U.plan_candidates(_plan_rows(spark, sf), _plan_looks(spark, sf))
+    return d.withColumns({"obs_date": F.col("obs_date").cast("string"), "siteplan_date": F.col("siteplan_date").cast("string"), "plan_keys": F.array_join("plan_keys", ","), "plan_warnings": F.array_join("plan_warnings", "|")})
+
+
+@query(
+    "SELECT p_partkey AS id, CASE WHEN lower(p_type) LIKE '%economy%' THEN 'phase' WHEN lower(p_name) LIKE '%as-built%' OR lower(p_name) LIKE '%as built%' THEN 'as_built' WHEN lower(p_name) LIKE '%phase%' THEN 'phase' "
+    "WHEN lower(p_name) LIKE '%master%' OR lower(p_name) LIKE '%overall%' OR lower(p_brand) LIKE '%1%' THEN 'masterplan' ELSE 'unknown' END AS plan_type FROM part"
+)
+def plan_type(spark, sf):
+    p = table(spark, sf, "part")
+    explicit = F.when(F.lower("p_type").contains("economy"), " Phase ").otherwise("other")
+    sheet = F.when(F.col("p_brand").contains("1"), "Overall layout")
+    return p.select(F.col("p_partkey").alias("id"), U.plan_type(explicit, F.col("p_name"), sheet).alias("plan_type"))
+
+
 # -------------------------------------------------------------------- spectra
 
 _OK = " AND ".join(f"{b} > 0 AND {b} < 1.2" for b in S.BANDS)
@@ -557,20 +704,64 @@ def _unmix_sql() -> str:
     best = f"list_min(list_filter([{', '.join(options)}], lambda o: o IS NOT NULL))"
     clip = {n: f"greatest(best.{n}, 0)" for n in S.ENDMEMBERS}
     total = " + ".join(clip.values())
-    return f"{PIXELS}, picked AS (SELECT *, {best} AS best FROM pixels WHERE {_OK}), fractions AS (SELECT uid, pix, {', '.join(f'{c} / ({total}) AS {n}' for n, c in clip.items())} FROM picked)"
+    off = " + ".join("power(" + " + ".join(f"{float(S.LIBRARY[i, j])!r}::DOUBLE * {n}" for i, n in enumerate(S.ENDMEMBERS)) + f" - {b}, 2)" for j, b in enumerate(S.BANDS))
+    return f"{PIXELS}, picked AS (SELECT *, {best} AS best FROM pixels WHERE {_OK}), raw AS (SELECT uid, pix, {', '.join(S.BANDS)}, {', '.join(f'{c} / ({total}) AS {n}' for n, c in clip.items())} FROM picked), fractions AS (SELECT uid, pix, {', '.join(S.ENDMEMBERS)}, sqrt(({off}) / 6) AS rmse FROM raw)"
 
 
-@query(f"WITH {_unmix_sql()} SELECT uid, pix, {', '.join(f'{_r(n)} AS {n}' for n in S.ENDMEMBERS)} FROM fractions")
+@query(f"WITH {_unmix_sql()} SELECT uid, pix, {', '.join(f'{_r(n)} AS {n}' for n in (*S.ENDMEMBERS, 'rmse'))} FROM fractions")
 def fcls_unmix(spark, sf):
-    return S.unmix(S.physical(pixels(spark, sf))).select("uid", "pix", *[r6(F.col(n)).alias(n) for n in S.ENDMEMBERS])
+    return S.unmix(S.physical(pixels(spark, sf))).select("uid", "pix", *[r6(F.col(n)).alias(n) for n in (*S.ENDMEMBERS, "rmse")])
 
 
 @query(
-    f"WITH {_unmix_sql()} SELECT uid, count(*) AS n, {', '.join(f'{_r(f"avg({n})")} AS {n}' for n in S.ENDMEMBERS)}, {', '.join(f'count(*) FILTER ({n} >= 0.5) * 100.0::DOUBLE AS {n}_area' for n in S.ENDMEMBERS)} FROM fractions GROUP BY uid"
+    f"WITH {_unmix_sql()}, grid AS (SELECT uid, count(*) AS n_grid, count(*) FILTER (pix % 4 > 0) AS n_aoi FROM pixels GROUP BY uid) SELECT uid, count(*) AS n, {', '.join(f'{_r(f"avg({n})")} AS {n}' for n in (*S.ENDMEMBERS, 'rmse'))}, "
+    f"{', '.join(f'count(*) FILTER ({n} >= 0.5) * 100.0::DOUBLE AS {n}_area' for n in S.ENDMEMBERS)}, {_r('count(*) / any_value(n_grid)')} AS valid_frac, {_r('least(count(*) / any_value(n_aoi), 1)')} AS clear_frac FROM fractions JOIN grid USING (uid) GROUP BY uid"
 )
 def site_period_reduce(spark, sf):
-    s = S.site_period(S.unmix(S.physical(pixels(spark, sf))).withColumn("ord", F.lit(0)), 100.0)
-    return s.select("uid", "n", *[r6(F.col(n)).alias(n) for n in S.ENDMEMBERS], *[f"{n}_area" for n in S.ENDMEMBERS])
+    p = pixels(spark, sf)
+    every = p.withColumns({"y": F.col("pix"), "x": F.lit(0)})
+    sizes = every.groupBy("uid").agg(F.count("*").alias("n_grid")).join(Z.fill(every, every.where("pix % 4 > 0")), "uid")
+    s = S.site_period(S.unmix(S.physical(p)).withColumn("ord", F.lit(0)), 100.0, sizes=sizes)
+    return s.select("uid", "n", *[r6(F.col(n)).alias(n) for n in (*S.ENDMEMBERS, "rmse", "valid_frac", "clear_frac")], *[f"{n}_area" for n in S.ENDMEMBERS])
+
+
+@query(
+    f"WITH {PIXELS}, i AS (SELECT uid, (b08 - b04) / (b08 + b04 + 1e-6) AS ndvi, (b11 - b08) / (b11 + b08 + 1e-6) AS ndbi, b11 FROM pixels WHERE {_OK}) "
+    f"SELECT uid, count(*) AS n, {_r('avg(ndvi)')} AS ndvi, {_r('avg(ndbi)')} AS ndbi, {_r('avg(b11)')} AS swir FROM i GROUP BY uid HAVING count(*) >= 20"
+)
+def index_means(spark, sf):
+    d = S.index_means(pixels(spark, sf), ("uid",))
+    return d.select("uid", "n", *[r6(F.col(c)).alias(c) for c in ("ndvi", "ndbi", "swir")])
+
+
+@query(f"WITH {PIXELS} SELECT uid, pix FROM pixels WHERE b02 > 0.25 AND (pix % 3 = 0 OR b03 * 255 <= 0.65 * 255)")
+def cirrus_mask(spark, sf):
+    p = pixels(spark, sf).withColumns({"valid": F.when(F.col("b02") > 0.25, 1.0).otherwise(0.0), "clp": F.when(F.col("pix") % 3 > 0, F.col("b03") * 255)})
+    return S.clear_pixels(p).select("uid", "pix")
+
+
+@query("SELECT vec_id AS pix, vec_id % 12 IN (4, 5, 6, 7) AND label % 3 > 0 AS usable FROM embeddings")
+def scene_class_mask(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("pix"), Z.scene_class_mask(F.col("vec_id") % 12, F.col("label") % 3).alias("usable"))
+
+
+@query(
+    f"WITH {PIXELS}, q AS (SELECT count(*) AS n, {', '.join(f'quantile_cont({b}, [0.05::DOUBLE, 0.95::DOUBLE]) AS q_{b}' for b in S.BANDS)} FROM pixels) "
+    f"SELECT uid, pix FROM pixels CROSS JOIN q WHERE n <= 100 OR ({' AND '.join(f'{b} BETWEEN q_{b}[1] AND q_{b}[2]' for b in S.BANDS)})"
+)
+def winsor_trim(spark, sf):
+    return S.trimmed(pixels(spark, sf), 0.05, 100).select("uid", "pix")
+
+
+@query(
+    f"WITH {PIXELS}, m AS (SELECT uid, pix, unnest([('soil', b02), ('vegetation', b03), ('ndvi', b04), ('other', b08)]) AS m FROM pixels) "
+    f"SELECT uid, pix, m[1] AS metric, {_r('CASE m[1] WHEN $$soil$$ THEN m[2] WHEN $$vegetation$$ THEN -m[2] WHEN $$ndvi$$ THEN -m[2] END')} AS value FROM m"
+)
+def metric_orientation(spark, sf):
+    pairs = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(b).alias("v")) for n, b in (("soil", "b02"), ("vegetation", "b03"), ("ndvi", "b04"), ("other", "b08"))])
+    d = pixels(spark, sf).select("uid", "pix", F.explode(pairs).alias("m"))
+    return d.select("uid", "pix", F.col("m.metric").alias("metric"), r6(S.oriented(F.col("m.metric"), F.col("m.v"))).alias("value"))
 
 
 @query(
@@ -589,19 +780,23 @@ def chip_stretch(spark, sf):
     return T.stretch(pixels(spark, sf), "b08").select("uid", "pix", r6(F.col("level")).alias("level"))
 
 
-@query()
+@query(f"WITH {PIXELS} SELECT uid, pix FROM pixels")
 def pixel_sample(spark, sf):
+    """Within its bounds (4000 a site period, 60,000 a site) the sample is the whole."""
     p = pixels(spark, sf).withColumns({"ord": F.lit(0), "y": F.col("pix"), "x": F.lit(0)})
     return S.sampled(p, 4000, 60_000).select("uid", "pix")
 
 
+def _pool(spark, sf):
+    p = S.physical(pixels(spark, sf)).withColumns({"ord": F.lit(0), "y": F.col("pix"), "x": F.lit(0)})
+    return S.search_pool(S.sampled(p, 4000, 60_000)).select(*S.BANDS).toPandas().to_numpy()
+
+
 @query()
 def endmembers(spark, sf):
-    """Corners of a bounded, seeded pool; the search is a driver kernel on at most 60,000 spectra."""
-    p = S.sampled(S.physical(pixels(spark, sf)).withColumns({"ord": F.lit(0), "y": F.col("pix"), "x": F.lit(0)}), 4000, 6000)
-    pool = S.trimmed(p).orderBy("pix").select(*S.BANDS).toPandas().to_numpy()
-    found, _ = S.endmembers(np.asarray(pool))
-    return spark.createDataFrame([(k, *map(float, v)) for k, v in found.items()], f"endmember string, {', '.join(f'{b} double' for b in S.BANDS)}")
+    """Corners of a seeded pool of up to 60,000 spectra a site, and what there is to note about them; the search is a driver kernel on at most ``S.POOL`` spectra in all."""
+    found, notes = S.endmembers(np.asarray(_pool(spark, sf)))
+    return spark.createDataFrame([(k, *map(float, v), "; ".join(notes)) for k, v in found.items()], f"endmember string, {', '.join(f'{b} double' for b in S.BANDS)}, notes string")
 
 
 # --------------------------------------------------------------------- raster
@@ -635,19 +830,39 @@ def component_measures(spark, sf):
     return m.select("uid", "label", "n_px", r6(F.col("cy")).alias("cy"), r6(F.col("cx")).alias("cx"), "perimeter", "compactness")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_COMPONENTS}, d AS (SELECT DISTINCT a.uid, a.label, (b.x - a.x) // gcd(abs(b.x - a.x), abs(b.y - a.y)) AS dx, (b.y - a.y) // gcd(abs(b.x - a.x), abs(b.y - a.y)) AS dy "
+    "FROM labelled a JOIN labelled b ON a.uid = b.uid AND a.label = b.label AND (a.x, a.y) <> (b.x, b.y)), "
+    "boxes AS (SELECT d.uid, d.label, dx, dy, CAST((max(x * dx + y * dy) - min(x * dx + y * dy)) * (max(y * dx - x * dy) - min(y * dx - x * dy)) AS DOUBLE) / (dx * dx + dy * dy) AS area, count(*) AS n "
+    "FROM d JOIN labelled l ON l.uid = d.uid AND l.label = d.label GROUP BY 1, 2, 3, 4), least AS (SELECT uid, label, min(area) AS area, any_value(n) AS n FROM boxes GROUP BY 1, 2) "
+    f"SELECT uid, label, {_r('round(least(1.0::DOUBLE, CASE WHEN area > 0 THEN n / area END), 3)')} AS rectangularity FROM least"
+)
 def component_rectangularity(spark, sf):
-    return R.rectangularity(R.components(lattice(spark, sf)))
+    d = R.rectangularity(R.components(lattice(spark, sf)))
+    return d.select("uid", "label", r6(F.round("rectangularity", 3)).alias("rectangularity"))
 
 
 @query(
-    f"WITH RECURSIVE {_MEASURES}, scored AS (SELECT uid, label, round_even(least(n_px * 1000.0::DOUBLE / 8000, 4) * (1 / (1 + cx * 100 / 500)), 4) AS score FROM sides), "
-    "ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY uid ORDER BY score DESC, label) AS INTEGER) AS rank FROM scored) SELECT uid, label, score, rank FROM ranked WHERE rank <= 5"
+    f"WITH RECURSIVE {_MEASURES}, box AS (SELECT uid, label, count(*) / ((max(x) - min(x) + 1) * (max(y) - min(y) + 1)) AS rect FROM labelled GROUP BY 1, 2), "
+    "placed AS (SELECT s.*, rect, CASE WHEN label % 2 = 0 THEN label * 100.0::DOUBLE END AS near, -100 + (cx + 0.5) * 0.0001 AS lon, 35 - (cy + 0.5) * 0.0001 AS lat FROM sides s JOIN box USING (uid, label)), "
+    "far AS (SELECT *, sqrt(power((-99.999 - lon) * cos(radians(lat)), 2) + power(34.999 - lat, 2)) * 110540 AS d FROM placed), "
+    "scored AS (SELECT *, round_even(least(n_px * 1000.0::DOUBLE / 8000, 4) * (0.6::DOUBLE + 0.8::DOUBLE * rect) * (1 / (1 + coalesce(near, d) / 500)), 4) AS score FROM far), "
+    "ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY uid ORDER BY score DESC, label) AS INTEGER) AS rank FROM scored) "
+    f"SELECT uid, label, n_px * 1000.0::DOUBLE AS area_m2, {_r('lon')} AS lon, {_r('lat')} AS lat, {_r('d')} AS dist_to_point_m, score, rank FROM ranked WHERE rank <= 5"
 )
 def disturbance_rank(spark, sf):
+    """Ranked by size, the filling of the bounding box and nearness (a stand-in for a building's distance where the label is even)."""
     m = R.measures(R.components(lattice(spark, sf)))
-    s = m.withColumn("score", R.component_score(F.col("n_px") * 1000.0, F.lit(None).cast("double"), F.col("cx") * 100))
-    return R.top_components(s).select("uid", "label", "score", "rank")
+    box = F.col("n_px") / ((F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1))
+    m = m.withColumns({"rectangularity": box, "dist_to_building_m": F.when(F.col("label") % 2 == 0, F.col("label") * 100.0)})
+    grid = m.select("uid").distinct().select(
+        "uid", F.lit(-100.0).alias("west"), F.lit(35.0).alias("north"), F.lit(0.0001).alias("dx"), F.lit(0.0001).alias("dy"), F.lit(1000.0).alias("px_area"), F.lit(-99.999).alias("point_lon"), F.lit(34.999).alias("point_lat")
+    )
+    d = R.rank_disturbances(m, grid, 5)
+    # distances and coordinates to the places that sums in another order leave alone
+    lon, lat = G.pixel_centre(F.col("cx"), F.col("cy"), F.lit(-100.0), F.lit(35.0), F.lit(0.0001), F.lit(0.0001))
+    here = F.sqrt(F.pow((F.lit(-99.999) - lon) * F.cos(F.radians(lat)), 2) + F.pow(F.lit(34.999) - lat, 2)) * G.LAT_M
+    return d.select("uid", "label", "area_m2", r6(lon).alias("lon"), r6(lat).alias("lat"), r6(here).alias("dist_to_point_m"), "score", "rank")
 
 
 @query(
@@ -716,112 +931,217 @@ def annulus(spark, sf):
 def _features(spark, sf):
     k = F.col("p_partkey")
     return table(spark, sf, "part").select(
-        k.alias("id"), (k * 131 % 20000).cast("double").alias("largest"), (k * 71 % 15000).cast("double").alias("veg_area"), (k * 53 % 16000).cast("double").alias("soil_area"), (k * 17 % 4000).cast("double").alias("high_area"),
+        k.alias("id"), F.when(k % 13 > 0, (k * 131 % 20000).cast("double")).alias("largest"), F.when(k % 13 > 0, (k * 71 % 15000).cast("double")).alias("veg_area"), (k * 53 % 16000).cast("double").alias("soil_area"), (k * 17 % 4000).cast("double").alias("high_area"),
         (k * 53 % 16000 + k * 17 % 4000 + 1).cast("double").alias("changed_area"), F.when(k % 5 > 0, (k * 7 % 100) / 100.0).alias("persistence"), F.when(k % 4 > 0, (k * 11 % 100) / 100.0).alias("rectangularity"),
         F.when(k % 3 > 0, (k * 13 % 900).cast("double")).alias("dist_to_building"), F.when(k % 6 > 0, (k * 19 % 16000).cast("double")).alias("prior_veg_loss"), (k % 9 == 0).alias("visual"),
         F.when(k % 3 == 0, "siteplan").when(k % 3 == 1, "parcel").otherwise("point_box").alias("aoi_source"),
     )
 
 
-_FEATURES = """f AS (SELECT p_partkey AS id, CAST(p_partkey * 131 % 20000 AS DOUBLE) AS largest, CAST(p_partkey * 71 % 15000 AS DOUBLE) AS veg, CAST(p_partkey * 53 % 16000 AS DOUBLE) AS soil, CAST(p_partkey * 17 % 4000 AS DOUBLE) AS high,
+_STAGE_ROWS = """f AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 13 > 0 THEN CAST(p_partkey * 131 % 20000 AS DOUBLE) END AS largest, CASE WHEN p_partkey % 13 > 0 THEN CAST(p_partkey * 71 % 15000 AS DOUBLE) END AS veg,
+  CAST(p_partkey * 53 % 16000 AS DOUBLE) AS soil, CAST(p_partkey * 17 % 4000 AS DOUBLE) AS high, CAST(p_partkey * 53 % 16000 + p_partkey * 17 % 4000 + 1 AS DOUBLE) AS changed,
   CASE WHEN p_partkey % 5 > 0 THEN p_partkey * 7 % 100 / 100.0::DOUBLE END AS pers, CASE WHEN p_partkey % 4 > 0 THEN p_partkey * 11 % 100 / 100.0::DOUBLE END AS rect, CASE WHEN p_partkey % 3 > 0 THEN p_partkey * 13 % 900 END AS dist,
-  CASE WHEN p_partkey % 6 > 0 THEN p_partkey * 19 % 16000 END AS prior, p_partkey % 9 = 0 AS visual, p_partkey % 3 AS src FROM part), s AS (
-  SELECT *, soil / (soil + high + 1) AS share, CAST(high >= 2000 AS INTEGER) + CAST(largest >= 8000 AS INTEGER) + CAST(coalesce(pers >= 0.6, false) AS INTEGER) + CAST(coalesce(rect >= 0.6, false) AS INTEGER)
-    + CAST(coalesce(dist <= 300, false) AS INTEGER) + CAST(coalesce(prior >= 8000, false) AS INTEGER) + CAST(visual AS INTEGER) AS n_signals FROM f), r AS (
+  CASE WHEN p_partkey % 6 > 0 THEN p_partkey * 19 % 16000 END AS prior, p_partkey % 9 = 0 AS visual, CASE p_partkey % 3 WHEN 0 THEN 'siteplan' WHEN 1 THEN 'parcel' ELSE 'point_box' END AS src FROM part)"""
+
+#: From ``f`` (with largest, veg, soil, high, changed, pers, rect, dist, prior, visual, src) to ``staged``.
+STAGE = """known AS (SELECT * REPLACE (coalesce(largest, 0) AS largest, coalesce(veg, 0) AS veg, coalesce(soil, 0) AS soil, coalesce(high, 0) AS high, coalesce(changed, 0) AS changed) FROM f),
+  s AS (SELECT *, CASE WHEN changed > 0 THEN soil / changed ELSE 0 END AS share, [high >= 2000, largest >= 8000, coalesce(pers >= 0.6, false), coalesce(rect >= 0.6, false), coalesce(dist <= 300, false), coalesce(prior >= 8000, false), coalesce(visual, false)] AS ev FROM known),
+  n AS (SELECT *, CAST(len(list_filter(ev, lambda x: x)) AS INTEGER) AS n_signals, array_to_string(list_filter([CASE WHEN ev[1] THEN 'bright_area' END, CASE WHEN ev[2] THEN 'connected_area' END, CASE WHEN ev[3] THEN 'persistence' END,
+    CASE WHEN ev[4] THEN 'geometry' END, CASE WHEN ev[5] THEN 'footprint_proximity' END, CASE WHEN ev[6] THEN 'prior_veg_loss' END, CASE WHEN ev[7] THEN 'visual' END], lambda x: x IS NOT NULL), ',') AS signals FROM s), r AS (
   SELECT *, CASE WHEN largest < 8000 AND veg < 8000 THEN 'none' WHEN coalesce(pers < 0.5, false) THEN 'fleeting' WHEN high >= 2000 AND soil >= 8000 AND n_signals >= 4 THEN 'foundation' WHEN high >= 2000 AND soil >= 8000 AND n_signals >= 2 THEN 'unresolved'
     WHEN soil >= 8000 AND share >= 0.6 AND coalesce(rect >= 0.55, true) AND high >= 2000 AND n_signals >= 2 THEN 'unresolved' WHEN soil >= 8000 AND share >= 0.6 AND coalesce(rect >= 0.55, true) THEN 'grading'
-    WHEN veg >= 8000 OR soil >= 8000 THEN 'clearing' ELSE 'below' END AS rule FROM s), b AS (
-  SELECT *, CASE rule WHEN 'none' THEN 0.6::DOUBLE WHEN 'fleeting' THEN 0.55 WHEN 'foundation' THEN 0.6 WHEN 'grading' THEN 0.6 WHEN 'unresolved' THEN 0.45 ELSE 0.5 END AS base FROM r)
-SELECT id, CASE rule WHEN 'foundation' THEN 15 WHEN 'grading' THEN 10 WHEN 'clearing' THEN 5 WHEN 'unresolved' THEN NULL ELSE 0 END AS stage_pct, CASE WHEN rule = 'unresolved' THEN '10-15' END AS stage_group, n_signals,
-  round_even(CASE WHEN rule IN ('none', 'fleeting', 'below') THEN base ELSE greatest(0.05::DOUBLE, least(0.95::DOUBLE, base + coalesce(0.30::DOUBLE * (pers - 0.5::DOUBLE), 0) + coalesce(0.20::DOUBLE * (rect - 0.5::DOUBLE), 0)
-    + 0.03::DOUBLE * greatest(0, n_signals - 2) + CASE src WHEN 0 THEN 0.10::DOUBLE WHEN 2 THEN -0.10::DOUBLE ELSE 0::DOUBLE END)) END, 2) AS confidence FROM b"""
+    WHEN veg >= 8000 OR soil >= 8000 THEN 'clearing' ELSE 'below' END AS rule FROM n), b AS (
+  SELECT *, CASE rule WHEN 'none' THEN 0.6::DOUBLE WHEN 'fleeting' THEN 0.55 WHEN 'foundation' THEN 0.6 WHEN 'grading' THEN 0.6 WHEN 'unresolved' THEN 0.45 ELSE 0.5 END AS base FROM r), staged AS (
+  SELECT *, CASE rule WHEN 'foundation' THEN 15 WHEN 'grading' THEN 10 WHEN 'clearing' THEN 5 WHEN 'unresolved' THEN NULL ELSE 0 END AS stage_pct, CASE WHEN rule = 'unresolved' THEN '10-15' END AS stage_group,
+    CASE rule WHEN 'foundation' THEN 'foundation work' WHEN 'grading' THEN 'grading and levelling' WHEN 'clearing' THEN 'site clearing' WHEN 'unresolved' THEN 'grading or foundation (unresolved)' ELSE 'no construction' END AS stage_label,
+    CASE WHEN rule IN ('none', 'fleeting', 'below') THEN base ELSE round_even(greatest(0.05::DOUBLE, least(0.95::DOUBLE, base + coalesce(0.30::DOUBLE * (pers - 0.5::DOUBLE), 0) + coalesce(0.20::DOUBLE * (rect - 0.5::DOUBLE), 0)
+    + 0.03::DOUBLE * greatest(0, n_signals - 2) + CASE src WHEN 'siteplan' THEN 0.10::DOUBLE WHEN 'point_box' THEN -0.10::DOUBLE ELSE 0::DOUBLE END)), 3) END AS confidence FROM b)"""
 
 
-@query(f"WITH {_FEATURES}")
+@query(f"WITH {_STAGE_ROWS}, {STAGE} SELECT id, stage_pct, stage_group, stage_label, n_signals, signals, confidence FROM staged")
 def stage_classify(spark, sf):
     s = U.stage_classify(_features(spark, sf))
-    return s.select("id", "stage_pct", "stage_group", "n_signals", F.bround("confidence", 2).alias("confidence"))
-
-
-ORACLE["stage_classify"] = ORACLE["stage_classify"].replace(")) END, 2) AS confidence", ")) END, 3), 2) AS confidence").replace("round_even(CASE WHEN rule IN ('none'", "round_even(round_even(CASE WHEN rule IN ('none'")
+    return s.select("id", "stage_pct", "stage_group", "stage_label", "n_signals", F.array_join("signals", ",").alias("signals"), "confidence")
 
 
 def _aoi_sites(spark, sf):
     k = F.col("c_custkey")
+    m = lambda f, n: (k * f % n).cast("double")
     return table(spark, sf, "customer").select(
-        k.alias("uid"), (k % 4 == 0).alias("plan_usable"), (k * 7 % 80).cast("double").alias("plan_residual"), (k % 5 == 0).alias("plan_optimistic"), F.when(k % 3 > 0, (k * 11 % 300).cast("double")).alias("parcel_ha"),
-        (k % 4 + 1).alias("parcel_parts"), (k % 6 > 0).alias("point_inside"), (k * 13 % 2000).cast("double").alias("point_offset_m"), F.when(k % 11 > 0, 35.0).alias("lat"), F.lit(-100.0).alias("lon"),
-        F.when(k % 3 == 0, "exact").when(k % 3 == 1, "approximate").otherwise("inferred").alias("coordinate_quality"),
+        k.alias("uid"), F.when(k % 11 > 0, 35.0).alias("lat"), F.when(k % 11 > 0, -100.0).alias("lon"), (k % 3 == 0).alias("coord_confirmed"), F.when(k % 5 > 0, "parcel").when(k % 5 == 0, "box_no_parcel").alias("site_source"),
+        F.when(k % 13 > 0, m(11, 300) * 1e4 + F.when(k % 17 > 0, 7000.0).otherwise(0.0)).alias("parcel_m2"), (k % 19 > 0).alias("parcel_valid"), (k % 4 + 1).alias("parcel_parts"), (k % 2 == 0).alias("parcel_inside"), m(97, 9000).alias("parcel_offset_m"),
+        F.when(k % 3 == 0, F.when(k % 6 == 0, F.array(F.lit("A"), F.lit("B"))).otherwise(F.array().cast("array<string>"))).alias("plan_keys"),
+        F.when(k % 3 == 0, F.when(k % 6 == 0, F.array(F.lit("siteplan A: georeferencing residual 20.0 m (> 15 m)"), F.lit("siteplan A: no public/filing date known -- usable_from is optimistic"))).otherwise(F.array(F.lit("siteplan C rejected (temporal leakage): no building rings")))).alias("plan_warnings"),
+        F.when(k % 3 == 0, F.when(k % 6 > 0, "no building rings")).alias("plan_refusal"), F.when(k % 7 > 0, m(7, 90000) - 500).alias("plan_m2"), m(89, 8000).alias("plan_offset_m"),
     )
 
 
+_AOI = """k AS (SELECT c_custkey AS uid, c_custkey % 11 > 0 AS pt, c_custkey % 3 = 0 AS conf, CASE WHEN c_custkey % 5 > 0 THEN 'parcel' ELSE 'box_no_parcel' END AS ss,
+  CASE WHEN c_custkey % 13 > 0 THEN c_custkey * 11 % 300 * 10000.0::DOUBLE + CASE WHEN c_custkey % 17 > 0 THEN 7000 ELSE 0 END END AS m2, c_custkey % 19 > 0 AS valid, c_custkey % 4 + 1 AS parts,
+  CASE WHEN c_custkey % 11 > 0 AND c_custkey % 2 = 1 THEN c_custkey * 97 % 9000 END AS off, c_custkey % 3 = 0 AS has_plan, c_custkey % 6 = 0 AS usable, CASE WHEN c_custkey % 7 > 0 THEN c_custkey * 7 % 90000 - 500 END AS pm2,
+  CASE WHEN c_custkey % 11 > 0 THEN c_custkey * 89 % 8000 END AS poff FROM customer),
+why AS (SELECT *, CASE WHEN NOT has_plan THEN 'no site plan for campus' WHEN NOT usable THEN 'no building rings' WHEN pm2 IS NULL THEN 'footprint union empty' WHEN pm2 <= 0 THEN 'footprint area zero' WHEN poff > 5000 THEN 'site plan centroid ' || poff || ' m from the point — not the same place' END AS w1,
+  CASE WHEN ss <> 'parcel' THEN 'no parcel geometry (aoi_source=box_no_parcel)' WHEN m2 IS NULL THEN 'parcel geometry empty' WHEN m2 <= 0 THEN 'parcel area zero' END AS bad, CASE WHEN off > 5000 THEN 'point ' || off || ' m outside the parcel — not the same place' END AS away,
+  CASE WHEN conf THEN 'confirmed' WHEN pt THEN 'approximate' ELSE 'inferred' END AS q FROM k),
+src AS (SELECT *, coalesce(bad, away) AS w2, CASE WHEN w1 IS NULL THEN 'siteplan' WHEN coalesce(bad, away) IS NULL THEN 'parcel' WHEN pt THEN 'point_box' END AS aoi_source FROM why),
+noted AS (SELECT *, list_filter([CASE WHEN has_plan AND usable THEN 'siteplan A: georeferencing residual 20.0 m (> 15 m)' END, CASE WHEN has_plan AND usable THEN 'siteplan A: no public/filing date known -- usable_from is optimistic' END,
+  CASE WHEN has_plan AND NOT usable THEN 'siteplan C rejected (temporal leakage): no building rings' END, CASE WHEN w1 IS NULL AND poff > 1000 THEN 'site plan centroid ' || poff || ' m from the recorded point' END,
+  CASE WHEN w1 IS NOT NULL AND bad IS NULL AND NOT valid THEN 'parcel geometry was invalid; repaired with buffer(0)' END,
+  CASE WHEN w1 IS NOT NULL AND bad IS NULL AND m2 > 1500000 THEN 'parcel is large (' || printf('%.0f', m2 / 10000) || ' ha): an 8,000 m2 event is ' || printf('%.3f', 8000 / m2 * 100) || '% of it — use the tiled component search, never the parcel mean' END,
+  CASE WHEN w1 IS NOT NULL AND bad IS NULL AND parts > 1 THEN 'parcel is fragmented (' || parts || ' parts)' END,
+  CASE WHEN w1 IS NOT NULL AND bad IS NULL AND away IS NULL AND off IS NOT NULL THEN 'project point falls OUTSIDE the parcel (' || off || ' m from its centroid)' END,
+  CASE WHEN aoi_source = 'point_box' AND q <> 'confirmed' THEN 'coordinate is ' || q || ': a 400 m box may miss the pad' END,
+  CASE WHEN aoi_source = 'point_box' THEN 'point AOI only — 400 m box for sensitivity (8,000 m2 = 5.0% of it), 1000 m for discovery' END], lambda x: x IS NOT NULL) AS warnings FROM src),
+costs AS (SELECT *, list_filter(list_prepend(CASE q WHEN 'approximate' THEN ('coordinate approximate', -0.05::DOUBLE) WHEN 'inferred' THEN ('coordinate inferred', -0.15::DOUBLE) END, list_transform(warnings, lambda w:
+  CASE WHEN w LIKE '%OUTSIDE the parcel%' OR w LIKE '%from the recorded point%' THEN ('point/polygon disagreement', -0.15::DOUBLE) WHEN w LIKE '%fragmented%' THEN ('fragmented parcel', -0.05::DOUBLE) WHEN w LIKE '%is large%' THEN ('large parcel — tiled search', -0.10::DOUBLE)
+  WHEN w LIKE '%residual%' THEN ('weak georeferencing', -0.10::DOUBLE) WHEN w LIKE '%optimistic%' THEN ('plan availability date optimistic', -0.05::DOUBLE) END)), lambda x: x IS NOT NULL) AS ded FROM noted),
+resolved AS (SELECT *, concat_ws('; ', 'siteplan: ' || w1, CASE WHEN w1 IS NOT NULL THEN 'parcel: ' || w2 END, CASE WHEN aoi_source IS NULL THEN 'point: no coordinate' END) AS fallback_reason,
+  CASE aoi_source WHEN 'siteplan' THEN 150.0::DOUBLE ELSE CASE WHEN aoi_source IS NOT NULL THEN 0.0::DOUBLE END END AS buffer_m, CAST(CASE aoi_source WHEN 'siteplan' THEN poff WHEN 'parcel' THEN off END AS DOUBLE) AS point_offset_m,
+  coalesce(aoi_source = 'parcel' AND m2 > 1000000, false) AS needs_tiling,
+  CASE WHEN aoi_source IS NOT NULL THEN round_even(greatest(0.05::DOUBLE, least(1.0::DOUBLE, list_reduce(list_prepend(CASE aoi_source WHEN 'siteplan' THEN 0.9::DOUBLE WHEN 'parcel' THEN 0.65 ELSE 0.4 END, list_transform(ded, lambda d: d[2])), lambda a, b: a + b))), 3) END AS quality FROM costs)"""
+
+
 @query(
-    """WITH k AS (SELECT c_custkey AS uid, c_custkey % 4 = 0 AS pu, c_custkey * 7 % 80 AS res, c_custkey % 5 = 0 AS opt, CASE WHEN c_custkey % 3 > 0 THEN c_custkey * 11 % 300 END AS ha, c_custkey % 4 + 1 AS parts, c_custkey % 6 > 0 AS inside,
-  c_custkey * 13 % 2000 AS off, CASE WHEN c_custkey % 11 > 0 THEN 35 END AS lat, c_custkey % 3 AS q FROM customer),
-s AS (SELECT *, CASE WHEN pu AND res <= 60 THEN 'siteplan' WHEN ha IS NOT NULL THEN 'parcel' WHEN lat IS NOT NULL THEN 'point_box' END AS src FROM k)
-SELECT uid, src AS aoi_source, coalesce(src = 'parcel' AND ha > 100, false) AS tiled, CASE WHEN src IS NOT NULL THEN round_even(greatest(0.05::DOUBLE, least(1.0::DOUBLE,
-  CASE src WHEN 'siteplan' THEN 0.9::DOUBLE WHEN 'parcel' THEN 0.65 ELSE 0.4 END + CASE q WHEN 1 THEN -0.05::DOUBLE WHEN 2 THEN -0.15 ELSE 0 END
-  - 0.10::DOUBLE * CAST(pu AND res > 60 AS INTEGER) - 0.10::DOUBLE * CAST(src = 'siteplan' AND res > 15 AS INTEGER) - 0.05::DOUBLE * CAST(src = 'siteplan' AND opt AS INTEGER)
-  - 0.15::DOUBLE * CAST(src = 'parcel' AND NOT inside AS INTEGER) - 0.15::DOUBLE * CAST(src = 'parcel' AND off > 1000 AS INTEGER) - 0.05::DOUBLE * CAST(src = 'parcel' AND parts > 1 AS INTEGER)
-  - 0.10::DOUBLE * CAST(src = 'parcel' AND ha > 150 AS INTEGER))), 3) END AS quality FROM s"""
+    f"WITH {_AOI} SELECT uid, aoi_source, q AS coordinate_quality, array_to_string(warnings, '|') AS warnings, CASE WHEN fallback_reason <> '' THEN fallback_reason END AS fallback_reason, buffer_m, point_offset_m, needs_tiling, "
+    "array_to_string(list_transform(ded, lambda d: d[1]), '|') AS deductions, quality FROM resolved"
 )
 def aoi_quality(spark, sf):
-    return U.resolve_aoi(_aoi_sites(spark, sf)).select("uid", "aoi_source", "tiled", "quality")
+    d = U.resolve_aoi(_aoi_sites(spark, sf))
+    return d.select(
+        "uid", "aoi_source", "coordinate_quality", F.array_join("warnings", "|").alias("warnings"), "fallback_reason", "buffer_m", "point_offset_m", "needs_tiling",
+        F.array_join(F.transform("deductions", lambda x: x["what"]), "|").alias("deductions"), "quality",
+    )
+
+
+@query(
+    f"WITH {_AOI} SELECT uid, aoi_source, CASE WHEN aoi_source IS NOT NULL THEN round_even(m2, 1) END AS aoi_area_m2, buffer_m AS aoi_buffer_m, quality AS aoi_confidence, quality AS score, len(ded) AS n_deductions, needs_tiling AS aoi_needs_tiling, "
+    "CASE aoi_source WHEN 'siteplan' THEN 'strict' END AS siteplan_policy, q AS coordinate_quality, CASE aoi_source WHEN 'siteplan' THEN '1997-05-01' END AS siteplan_date, CASE aoi_source WHEN 'parcel' THEN CAST(uid AS VARCHAR) END AS parcel_id, "
+    "CASE WHEN fallback_reason <> '' THEN fallback_reason END AS aoi_fallback_reason, len(warnings) AS n_warnings FROM resolved"
+)
+def provenance(spark, sf):
+    d = U.resolve_aoi(_aoi_sites(spark, sf))
+    d = d.withColumns({"aoi_m2": F.when(F.col("aoi_source").isNotNull(), F.col("parcel_m2")), "siteplan_date": F.lit("1997-05-01").cast("date")})
+    p = d.select("uid", U.provenance(d).alias("p")).select("uid", "p.*")
+    return p.select("*", F.col("aoi_quality.score").alias("score"), F.size("aoi_quality.deductions").cast("long").alias("n_deductions"), F.size("aoi_warnings").cast("long").alias("n_warnings")).drop("aoi_quality", "aoi_warnings")
 
 
 # ------------------------------------------------------------ sites and truth
 
 
 def _buildings(spark, sf):
-    k = F.col("l_orderkey")
+    k, p = F.col("l_orderkey"), F.col("l_partkey")
+    text = lambda c: c.cast("string")
     return table(spark, sf, "lineitem").select(
-        F.col("l_suppkey").alias("uid"), F.col("l_returnflag").alias("stage"), F.when(F.col("l_partkey") % 9 > 0, F.col("l_partkey") % 170 - 60).cast("double").alias("lat"), (k % 300 - 120).cast("double").alias("lon"),
-        F.when(F.col("l_linestatus") == "O", "Y").otherwise("N").alias("exact"), F.concat_ws("-", k, F.col("l_linenumber")).alias("name"), (k * 10 + F.col("l_linenumber")).alias("row"), (F.col("l_suppkey") * 3001 % 30_000_000).cast("double").alias("parcel_m2"),
+        F.when(p % 10 > 0, F.concat(F.lit(" C"), F.col("l_suppkey"))).otherwise(" ").alias("campus_uid"), F.concat(F.lit("B"), p % 50).alias("building_uid"),
+        F.when(F.col("l_returnflag") == "N", " Active").otherwise(F.concat(F.lit("Construction "), F.col("l_returnflag"))).alias("stage"), F.when(p % 9 > 0, text(p % 170 - 60)).otherwise("n/a").alias("lat"),
+        F.when(p % 8 > 0, text(k % 300 - 120)).otherwise("NaN").alias("lon"), F.when(F.col("l_linestatus") == "O", " y").when(p % 2 == 0, "N").alias("exact"), F.when(p % 3 == 0, "nan").otherwise(F.concat(F.lit("Campus "), p)).alias("campus_name"),
+        F.when(p % 5 > 0, F.concat_ws("-", k, F.col("l_linenumber"))).alias("building_name"), F.concat(F.lit("P"), p % 7).alias("provider"), F.lit(None).cast("string").alias("state"), ((k * 10 + F.col("l_linenumber")) * 1_000_000 + p).alias("row"),
     )
 
 
-_SITES = """sites AS (SELECT l_suppkey AS uid, bool_or(l_returnflag IN ('A', 'R')) AS eligible, avg(lat) FILTER (lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180) AS lat,
-  avg(lon) FILTER (lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180) AS lon, arg_min(l_orderkey || '-' || l_linenumber, (CASE WHEN l_linestatus = 'O' THEN 0 ELSE 1 END, l_orderkey * 10 + l_linenumber)) FILTER (l_returnflag IN ('A', 'R')) AS name,
-  bool_or(l_linestatus = 'O') AS confirmed, CAST(max(l_suppkey * 3001 % 30000000) AS DOUBLE) AS parcel_m2 FROM (SELECT *, CASE WHEN l_partkey % 9 > 0 THEN l_partkey % 170 - 60 END AS lat, l_orderkey % 300 - 120 AS lon FROM lineitem) GROUP BY 1),
-named AS (SELECT *, CASE WHEN parcel_m2 BETWEEN 5000 AND 25e6 THEN 'parcel' ELSE 'box_no_parcel' END AS aoi_source FROM sites)"""
+def _parcels(spark, sf):
+    """Parcels that link tables give to campuses: none, one or two for each supplier."""
+    s = F.col("s_suppkey")
+    links = table(spark, sf, "supplier").where(s % 4 > 0).select(F.concat(F.lit("C"), s).alias("unit"), F.explode(F.when(s % 4 == 2, F.array(s, s + 1)).otherwise(F.array(s))).alias("parcel"))
+    sizes = table(spark, sf, "supplier").select(s.alias("parcel"), (s * 300_007 % 30_000_000 + F.when(s % 6 > 0, 4000.0).otherwise(0.0)).cast("double").alias("m2"), F.lit(None).cast("array<array<array<array<double>>>>").alias("parts"))
+    return T.unit_parcels(links, sizes)
+
+
+_SITES = """b AS (SELECT CASE WHEN l_partkey % 10 > 0 THEN 'C' || l_suppkey ELSE 'B' || (l_partkey % 50) END AS uid, l_partkey % 10 > 0 AS campus, l_returnflag <> 'N' AS fits, l_linestatus = 'O' AS exact, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS row,
+  CASE WHEN l_partkey % 9 > 0 AND l_partkey % 8 > 0 THEN l_partkey % 170 - 60 END AS lat, CASE WHEN l_partkey % 9 > 0 AND l_partkey % 8 > 0 THEN l_orderkey % 300 - 120 END AS lon,
+  CASE WHEN l_partkey % 3 > 0 THEN 'Campus ' || l_partkey END AS cn, CASE WHEN l_partkey % 5 > 0 THEN l_orderkey || '-' || l_linenumber END AS bn, 'P' || (l_partkey % 7) AS provider, l_returnflag AS flag FROM lineitem),
+g AS (SELECT uid, count(*) AS n_buildings, count(*) FILTER (fits) AS n_eligible, avg(lat) AS lat, avg(lon) AS lon, arg_min(struct_pack(campus := campus, cn := cn, bn := bn, provider := provider, flag := flag), (CASE WHEN exact THEN 0 ELSE 1 END, row)) FILTER (fits) AS rep, bool_or(fits AND exact) AS coord_confirmed FROM b GROUP BY uid),
+links AS (SELECT 'C' || s_suppkey AS uid, unnest(CASE WHEN s_suppkey % 4 = 2 THEN [s_suppkey, s_suppkey + 1] ELSE [s_suppkey] END) AS parcel FROM supplier WHERE s_suppkey % 4 > 0),
+parcels AS (SELECT s_suppkey AS parcel, s_suppkey * 300007 % 30000000 + CASE WHEN s_suppkey % 6 > 0 THEN 4000 ELSE 0 END AS m2 FROM supplier),
+units AS (SELECT uid, count(*) AS n_parcels, CAST(sum(m2) AS DOUBLE) AS m2 FROM links JOIN parcels USING (parcel) GROUP BY uid),
+sized AS (SELECT g.*, coalesce(n_parcels, 0) AS n_parcels, m2 FROM g LEFT JOIN units USING (uid) WHERE n_eligible > 0 AND lat IS NOT NULL),
+why AS (SELECT *, CASE WHEN m2 > 25e6 THEN 'parcel ' || printf('%.1f', m2 / 1e6) || ' km2 > 25.0 km2' WHEN m2 < 5000 THEN 'parcel ' || printf('%.0f', m2) || ' m2 < 5000 m2' END AS reject_reason FROM sized),
+sites AS (SELECT *, CASE WHEN reject_reason IS NOT NULL THEN 'box_parcel_rejected' WHEN n_parcels > 1 THEN 'parcel_union' WHEN n_parcels = 1 THEN 'parcel' ELSE 'box_no_parcel' END AS aoi_source FROM why),
+named AS (SELECT *, CASE WHEN aoi_source LIKE 'parcel%' THEN m2 ELSE 562500.0::DOUBLE END AS area_m2, CASE WHEN rep.campus THEN 'campus' ELSE 'building' END AS unit_type, coalesce(rep.cn, rep.bn, 'Site ' || left(uid, 8)) AS name,
+  'Construction ' || rep.flag AS stage, rep.provider AS provider, n_eligible < n_buildings AS mixed_stage FROM sites)"""
+_STAGES = ["construction a", "construction r"]
+
 
+def _sites(spark, sf, **how):
+    return T.build_sites(_buildings(spark, sf), _STAGES, _parcels(spark, sf), **how)
 
-@query(f"WITH {_SITES} SELECT uid, eligible, {_r('lat')} AS lat, {_r('lon')} AS lon, name, confirmed, aoi_source FROM named")
+
+_SITE_COLUMNS = "uid, unit_type, name, provider, '' AS state, stage, n_buildings, n_eligible, mixed_stage, coord_confirmed, n_parcels, aoi_source, reject_reason, area_m2"
+
+
+@query(f"WITH {_SITES} SELECT {_SITE_COLUMNS}, {_r('lat')} AS lat, {_r('lon')} AS lon FROM named")
 def site_build(spark, sf):
-    s = T.build_sites(_buildings(spark, sf), ["A", "R"])
-    return s.select("uid", "eligible", r6(F.col("lat")).alias("lat"), r6(F.col("lon")).alias("lon"), "name", "confirmed", "aoi_source")
+    s = _sites(spark, sf)
+    return s.select("uid", "unit_type", "name", "provider", "state", "stage", "n_buildings", "n_eligible", "mixed_stage", "coord_confirmed", "n_parcels", "aoi_source", "reject_reason", "area_m2", r6(F.col("lat")).alias("lat"), r6(F.col("lon")).alias("lon"))
+
+
+@query(f"WITH {_SITES} SELECT uid, n_buildings FROM named WHERE NOT mixed_stage")
+def site_build_all_stages(spark, sf):
+    return _sites(spark, sf, every=True).select("uid", "n_buildings")
+
+
+@query(f"WITH {_SITES} SELECT uid, aoi_source FROM named WHERE coord_confirmed OR aoi_source LIKE 'parcel%'")
+def site_build_confirmed(spark, sf):
+    return _sites(spark, sf, confirmed_only=True).select("uid", "aoi_source")
 
 
 @query(
-    f"WITH {_SITES} SELECT count(*) AS n, count(*) FILTER (eligible) AS eligible, count(*) FILTER (aoi_source = 'parcel') AS with_parcel, count(*) FILTER (NOT confirmed) AS unconfirmed, "
-    "list_sort(list(parcel_m2))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS median_parcel_m2 FROM named"
+    f"WITH {_SITES}, m AS (SELECT list_sort(list(area_m2) FILTER (aoi_source LIKE 'parcel%')) AS p, list_sort(list(area_m2) FILTER (aoi_source LIKE 'box%')) AS x FROM named) SELECT count(*) AS n, count(*) FILTER (aoi_source LIKE 'parcel%') AS with_parcel, "
+    "count(*) FILTER (aoi_source LIKE 'box%') AS with_box, count(*) FILTER (aoi_source = 'box_no_parcel') AS no_parcel, count(*) FILTER (aoi_source = 'box_parcel_rejected') AS parcel_rejected, count(*) FILTER (aoi_source = 'parcel_union') AS unions, "
+    "count(*) FILTER (NOT coord_confirmed) AS unconfirmed, count(*) FILTER (NOT coord_confirmed AND aoi_source LIKE 'box%') AS unconfirmed_box, count(*) FILTER (mixed_stage) AS mixed, "
+    f"{_r('sum(area_m2) / 1e6')} AS total_km2, {_r('100.0::DOUBLE * count(*) FILTER (aoi_source LIKE $$parcel%$$) / greatest(1, count(*))')} AS parcel_pct, {_r('100.0::DOUBLE * count(*) FILTER (aoi_source LIKE $$box%$$) / greatest(1, count(*))')} AS box_pct, "
+    "(SELECT p[len(p) // 2 + 1] FROM m) AS median_parcel_m2, (SELECT x[len(x) // 2 + 1] FROM m) AS median_box_m2 FROM named"
 )
 def portfolio_summary(spark, sf):
-    return T.portfolio(T.build_sites(_buildings(spark, sf), ["A", "R"]))
+    p = T.portfolio(_sites(spark, sf))
+    return p.withColumns({c: r6(F.col(c)) for c in ("total_km2", "parcel_pct", "box_pct")})
 
 
-@query(f"WITH {_SITES} SELECT uid, parcel_m2 FROM named ORDER BY parcel_m2 DESC, uid LIMIT 10")
+@query(f"WITH {_SITES} SELECT uid, area_m2 FROM named WHERE aoi_source LIKE 'parcel%' ORDER BY area_m2 DESC, uid LIMIT 10")
 def top_sites(spark, sf):
-    return T.build_sites(_buildings(spark, sf), ["A", "R"]).select("uid", "parcel_m2").orderBy(F.col("parcel_m2").desc(), "uid").limit(10)
+    return T.largest_sites(_sites(spark, sf), 10, "parcel").select("uid", "area_m2")
 
 
-@query(
-    "SELECT id, text_date, reason FROM (SELECT o_orderkey AS id, d AS text_date, try_cast(CASE WHEN regexp_matches(substr(d, 1, 10), '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') THEN substr(d, 1, 10) END AS DATE) AS day, "
-    "CASE WHEN try_cast(CASE WHEN regexp_matches(substr(d, 1, 10), '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') THEN substr(d, 1, 10) END AS DATE) IS NULL THEN 'unparseable' WHEN year(CAST(substr(d, 1, 10) AS DATE)) < 1996 OR year(CAST(substr(d, 1, 10) AS DATE)) >= 2001 THEN 'year out of range' "
-    "WHEN CAST(substr(d, 1, 10) AS DATE) > DATE '2000-06-30' THEN 'future' END AS reason FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'Q' || o_orderkey WHEN o_orderkey % 10 = 1 THEN '1997-02-31' ELSE strftime(o_orderdate, '%Y-%m-%dT00') END AS d FROM orders))"
+_DATED = (
+    "d AS (SELECT o_orderkey AS id, CASE o_orderkey % 12 WHEN 0 THEN 'Q' || o_orderkey WHEN 1 THEN '1997-02-31' WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%dT00') WHEN 3 THEN strftime(o_orderdate, ' %Y%m%d ') WHEN 4 THEN '0202-02-26' "
+    "ELSE strftime(o_orderdate, '%Y-%m-%d') END AS text_date FROM orders), "
+    "parsed AS (SELECT *, try_cast(CASE WHEN regexp_full_match(trim(text_date), '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN trim(text_date) WHEN regexp_full_match(trim(text_date), '[0-9]{8}') THEN substr(trim(text_date), 1, 4) || '-' || substr(trim(text_date), 5, 2) || '-' || substr(trim(text_date), 7, 2) END AS DATE) AS day FROM d), "
+    "r AS (SELECT *, CASE WHEN day IS NULL THEN 'unparseable' WHEN year(day) NOT BETWEEN 1996 AND 2000 THEN 'impossible_year' WHEN day > DATE '2000-06-20' THEN 'future' "
+    "WHEN year(day) * 24 + (month(day) - 1) * 2 + CASE WHEN day(day) > 15 THEN 1 ELSE 0 END + 2 > 2000 * 24 + 11 THEN 'unobservable' END AS reason FROM parsed)"
 )
+
+
+def _dated(spark, sf):
+    k, d = F.col("o_orderkey"), F.col("o_orderdate")
+    text = (
+        F.when(k % 12 == 0, F.concat(F.lit("Q"), k)).when(k % 12 == 1, "1997-02-31").when(k % 12 == 2, F.date_format(d, "yyyy-MM-dd'T00'")).when(k % 12 == 3, F.date_format(d, "' 'yyyyMMdd' '")).when(k % 12 == 4, "0202-02-26")
+        .otherwise(F.date_format(d, "yyyy-MM-dd"))
+    )
+    return table(spark, sf, "orders").select(k.alias("id"), text.alias("date"))
+
+
+@query(f"WITH {_DATED} SELECT id, text_date, reason FROM r")
 def truth_quarantine(spark, sf):
-    k = F.col("o_orderkey")
-    d = F.when(k % 10 == 0, F.concat(F.lit("Q"), k)).when(k % 10 == 1, "1997-02-31").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T00'"))
-    t = table(spark, sf, "orders").select(k.alias("id"), d.alias("date"))
-    return T.quarantine(t, "2000-06-30", (1996, 2001)).select("id", F.col("date").alias("text_date"), "reason")
+    return T.quarantine(_dated(spark, sf), "2000-06-20", (1996, 2000)).select("id", F.col("date").alias("text_date"), "reason")
+
 
+@query(f"WITH {_DATED} SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM r GROUP BY 1")
+def truth_counts(spark, sf):
+    return T.quarantine_counts(T.quarantine(_dated(spark, sf), "2000-06-20", (1996, 2000)))
 
-@query("SELECT 'parcel' AS source, CAST(o_custkey AS VARCHAR) AS uid, strftime(o_orderdate, '%Y-%m-%d') AS start, o_orderpriority AS \"end\" FROM orders WHERE o_orderkey % 3 = 0")
+
+@query(f"WITH {_DATED} SELECT id, CASE WHEN reason IN ('unparseable', 'impossible_year') THEN reason END AS reason FROM r")
+def truth_permissive(spark, sf):
+    return T.quarantine(_dated(spark, sf), "2000-06-20", (1996, 2000), strict=False).select("id", "reason")
+
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS uid, CAST(year(o_orderdate) * 24 + (month(o_orderdate) - 1) * 2 + CASE WHEN day(o_orderdate) > 15 THEN 1 ELSE 0 END AS INTEGER) AS ord, '{\"k\":' || o_orderkey || '}' AS value FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 4 > 0")
 def stats_cache_parse(spark, sf):
-    o = table(spark, sf, "orders")
-    key = F.concat(F.when(F.col("o_orderkey") % 3 == 0, "parcel").otherwise("box"), F.lit(":"), F.col("o_custkey"), F.lit("|"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("|"), F.col("o_orderpriority"))
-    return o.select(*T.parse_stats_key(key)).where("source = 'parcel'")
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    key = F.concat(F.when(k % 3 == 0, "parcel").otherwise("box"), F.lit(":"), F.col("o_custkey"), F.lit("|"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("|"), F.col("o_orderpriority"))
+    value = F.when(k % 8 == 0, F.lit(None)).when(k % 4 == 0, "{}").otherwise(F.concat(F.lit('{"k":'), k, F.lit("}")))
+    return T.cache_rows(o.select(key.alias("key"), value.alias("value")))
 
 
 @query(
@@ -833,15 +1153,94 @@ def slug_collision(spark, sf):
     return T.collisions(named)
 
 
-@query(f"WITH {SERIES}, {ANCHORS} SELECT uid, {_NAME.format('ord')} AS period, ord - anchor AS \"offset\", NOT is_positive AS is_pseudo, {_r('ndvi')} AS ndvi, {_r('ndbi')} AS ndbi, {_r('swir')} AS swir FROM series JOIN anchors USING (uid)")
-def labeling_export(spark, sf):
+@query("SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN '' ELSE trim(p_name) END AS clean FROM part")
+def clean_cell(spark, sf):
+    k = F.col("p_partkey")
+    dirty = F.when(k % 5 == 0, F.lit(None)).when(k % 5 == 1, " NaN ").when(k % 5 == 2, "none").otherwise(F.concat(F.lit("  "), "p_name", F.lit(" ")))
+    return table(spark, sf, "part").select(k.alias("id"), T.clean_cell(dirty).alias("clean"))
+
+
+@query("SELECT p_partkey AS id, p_partkey % 6 IN (0, 5) AS usable FROM part")
+def usable_number(spark, sf):
+    k = F.col("p_partkey")
+    text = F.when(k % 6 == 0, F.col("p_retailprice").cast("string")).when(k % 6 == 1, "NaN").when(k % 6 == 2, "true").when(k % 6 == 3, F.lit(None)).when(k % 6 == 4, "").otherwise("-1e-3")
+    return table(spark, sf, "part").select(k.alias("id"), X.usable_number(text).alias("usable"))
+
+
+def _observed_series(spark, sf):
+    """The series in the columns of a series document; some periods have few pixels or no clear share of their own."""
     s = series(spark, sf)
-    a = anchors(s).select("uid", F.col("anchor").alias("start"), (~F.col("is_positive")).alias("is_pseudo"))
-    return T.labeling_rows(s, a).select("uid", "period", "offset", "is_pseudo", *[r6(F.col(c)).alias(c) for c in ("ndvi", "ndbi", "swir")])
+    k = F.col("ord") + F.col("uid")
+    half = lambda c, f: (F.col(c) * f).alias
+    return s.select(
+        "uid", "ord", (F.col("n") * 2).cast("int").alias("n_valid"), "valid_frac", F.when(k % 3 > 0, F.col("valid_frac") * 0.5).alias("clear_frac"), half("ndbi", 0.125)("rmse"), half("ndvi", 0.5)("vegetation"), half("swir", 0.5)("soil"),
+        half("valid_frac", 0.25)("high_albedo"), half("ndbi", 0.25)("low_albedo"), F.when(k % 7 > 0, F.col("ndvi")).alias("ndvi"), "ndbi", "swir", half("swir", 40000)("soil_area_m2"), half("valid_frac", 20000)("high_albedo_area_m2"),
+    )
+
+
+_OBSERVED = f"""{SERIES}, observed AS (SELECT uid, ord, CAST(n * 2 AS INTEGER) AS n_valid, valid_frac, CASE WHEN (ord + uid) % 3 > 0 THEN valid_frac * 0.5::DOUBLE END AS clear_frac, ndbi * 0.125::DOUBLE AS rmse, ndvi * 0.5::DOUBLE AS vegetation,
+  swir * 0.5::DOUBLE AS soil, valid_frac * 0.25::DOUBLE AS high_albedo, ndbi * 0.25::DOUBLE AS low_albedo, CASE WHEN (ord + uid) % 7 > 0 THEN ndvi END AS ndvi, ndbi, swir, swir * 40000 AS soil_area_m2, valid_frac * 20000 AS high_albedo_area_m2 FROM series)"""
+
+
+@query(f"WITH {_OBSERVED} SELECT uid, ord FROM observed WHERE n_valid >= 30 AND coalesce(clear_frac, valid_frac, 0) >= 0.4")
+def clear_series(spark, sf):
+    return T.quality_filter(_observed_series(spark, sf), 30, 0.4).select("uid", "ord")
+
+
+_FIVE = "vegetation soil high_albedo low_albedo ndvi ndbi swir soil_area_m2 high_albedo_area_m2".split()
+_LABELS = (
+    f"{_OBSERVED}, {ANCHORS}, labels AS (SELECT CAST(o.uid AS VARCHAR) AS uid, 'site-' || o.uid AS slug, 'Site ' || o.uid AS name, '' AS state, round_even(o.uid * 1.125::DOUBLE, 2) AS area_ha, o.uid % 4 AS n_buildings, "
+    f"CASE WHEN is_positive THEN 'positive' ELSE 'negative' END AS cls, {_NAME.format('anchor')} AS start_period, NOT is_positive AS start_is_pseudo, CASE WHEN o.uid % 3 = 0 THEN 'pad' ELSE '' END AS review_type, {_NAME.format('ord')} AS period, ord - anchor AS \"offset\", n_valid, "
+    f"round_even(coalesce(clear_frac, valid_frac, 0), 4) AS clear_frac, round_even(rmse, 5) AS rmse, {', '.join(f'round_even({c}, 5) AS {c}' for c in _FIVE)}, CASE WHEN ord % 5 = 0 THEN 'chip-' || ord ELSE '' END AS chip FROM observed o JOIN anchors a ON a.uid = o.uid WHERE n_valid >= 20)"
+)
 
 
-@query(f"WITH {SERIES} SELECT uid, count(*) AS n, {_r('sum(round_even(ndbi, 4))')} AS total, string_agg(CAST(ord AS VARCHAR), ',' ORDER BY ord) AS ords FROM series GROUP BY uid")
+def _label_rows(spark, sf):
+    s = _observed_series(spark, sf).withColumn("uid", F.col("uid").cast("string"))
+    u = F.col("uid")
+    a = anchors(series(spark, sf)).select(
+        u.cast("string").alias("uid"), F.concat(F.lit("site-"), u).alias("slug"), F.concat(F.lit("Site "), u).alias("name"), F.lit(None).cast("string").alias("state"), (u * F.lit(1.125)).alias("area_ha"), (u % 4).alias("n_buildings"),
+        F.when(F.col("is_positive"), "positive").otherwise("negative").alias("cls"), F.col("anchor").alias("start"), (~F.col("is_positive")).alias("start_is_pseudo"),
+    )
+    types = a.where(u.cast("int") % 3 == 0).select("uid", F.lit("pad").alias("review_type"))
+    chips = s.where("ord % 5 = 0").select("uid", "ord", F.concat(F.lit("chip-"), "ord").alias("chip"))
+    return T.labeling_rows(s, a, types, chips)
+
+
+@query(f"WITH {_LABELS} SELECT {', '.join(c if c != 'offset' else chr(34) + c + chr(34) for c in T.LABEL_COLUMNS)} FROM labels")
+def labeling_export(spark, sf):
+    return _label_rows(spark, sf)
+
+
+@query(f"WITH {_LABELS} SELECT cls, count(DISTINCT uid) AS campuses, count(*) AS rows, count(*) FILTER (chip <> '') AS with_chip, count(*) FILTER (review_type <> '') AS reviewed FROM labels GROUP BY cls")
+def labeling_counts(spark, sf):
+    return T.labeling_counts(_label_rows(spark, sf))
+
+
+_VIEW = [("v", "valid_frac", 3, 1), ("veg", "vegetation", 4, 1), ("soil", "soil", 4, 1), ("high", "high_albedo", 4, 1), ("low", "low_albedo", 4, 1), ("sha", "soil_area_m2", 2, 10000), ("hha", "high_albedo_area_m2", 2, 10000), ("ndvi", "ndvi", 4, 1), ("ndbi", "ndbi", 4, 1), ("swir", "swir", 4, 1), ("rmse", "rmse", 4, 1)]
+_VIEWED = f"{_OBSERVED}, viewed AS (SELECT uid, ord - min(ord) OVER (PARTITION BY uid) AS x, {_NAME.format('ord')} AS p, {', '.join(f'CASE WHEN n_valid >= 30 THEN round_even({c} / {k}::DOUBLE, {n}) END AS {a}' for a, c, n, k in _VIEW)} FROM observed)"
+
+
+@query(f"WITH {_VIEWED} SELECT * FROM viewed")
 def viewer_payload(spark, sf):
-    p = T.viewer_payload(series(spark, sf))
-    total = F.aggregate("rows", F.lit(0.0), lambda t, r: t + r["ndbi"])
-    return p.select("uid", F.size("rows").cast("long").alias("n"), r6(total).alias("total"), F.array_join(F.transform("rows", lambda r: r["ord"].cast("string")), ",").alias("ords"))
+    """The payload, opened again: every row of every site's array."""
+    p = T.viewer_payload(T.viewer_rows(_observed_series(spark, sf), 30))
+    return p.select("uid", F.explode("rows").alias("r")).select("uid", "r.*")
+
+
+@query(
+    f"WITH {_VIEWED}, kept AS (SELECT uid, x FROM viewed WHERE ndvi IS NOT NULL AND coalesce(v, 0) >= 0.45), n AS (SELECT uid, x, CASE WHEN x - lag(x) OVER (PARTITION BY uid ORDER BY x) <= 1 THEN 0 ELSE 1 END AS fresh FROM kept), "
+    "g AS (SELECT uid, x, sum(fresh) OVER (PARTITION BY uid ORDER BY x) AS segment FROM n) SELECT uid, CAST(segment AS BIGINT) AS segment, min(x) AS from_x, max(x) AS to_x, count(*) AS points FROM g GROUP BY uid, segment"
+)
+def viewer_segments(spark, sf):
+    return T.viewer_segments(T.viewer_rows(_observed_series(spark, sf), 30), "ndvi")
+
+
+@query(
+    f"{'WITH ' + LATTICE}, grid AS (SELECT DISTINCT uid, 31 AS w, 24 AS h FROM cells), t AS (SELECT uid, w, h, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j FROM grid CROSS JOIN range(0, 36) a(i) CROSS JOIN range(0, 46) b(j)) "
+    "SELECT t.uid, i, j, CAST(coalesce(c.y * 5 + c.x, 26) AS INTEGER) AS level FROM t LEFT JOIN cells c ON c.uid = t.uid AND c.y = floor((i + 0.5) * h / 36) AND c.x = floor((j + 0.5) * w / 46)"
+)
+def chip_resize(spark, sf):
+    cells = lattice(spark, sf)
+    grid = cells.select("uid").distinct().select("uid", F.lit(31).alias("width"), F.lit(24).alias("height"))
+    return T.chip(cells.withColumn("level", F.col("y") * 5 + F.col("x") + 0.25), grid, 36)

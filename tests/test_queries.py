@@ -9,7 +9,7 @@ import pytest
 
 from terrasift.operators import evaluate as E
 from terrasift.plans import bindings
-from terrasift.plans.queries import ORACLE, QUERIES
+from terrasift.plans.catalogue import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings labels documents".split()
