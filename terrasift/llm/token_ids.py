@@ -23,7 +23,12 @@ array of 64-bit offsets for that block; ``select`` is for single documents.
 
 Encoding works by pieces: a byte-level BPE of this kind never joins across a
 white space that stands between other characters, so texts are cut there, and
-each distinct piece is encoded once per worker and then looked up.
+each distinct piece is encoded once per worker and then looked up. A text that
+holds an added token of the tokenizer (``<|endoftext|>``) is encoded whole, with
+that token as its own id, as the library does by default.
+
+A block also holds the positions of its documents, where the caller gives any
+(``row_order``: the training order in which a mix was written).
 
 Null and empty texts are the end id alone. Repeated rows are written each. Extra
 columns are ignored.
@@ -38,7 +43,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrasift.llm import _common as C
@@ -48,6 +54,8 @@ MAGIC = b"TSID"
 BLOCK_BYTES = 8 << 20
 #: Distinct words that a worker remembers: those of the current generation and as many of the last.
 MEMORY = 600_000
+#: Characters of the longest word that is remembered beyond its batch.
+LONGEST = 48
 _SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 
 # ------------------------------------------------------------- Elias-Fano
@@ -146,7 +154,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Strings that the tokenizer takes out of a text before it cuts; a text with one goes to it whole.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.width = 2 if max(vocabulary.values()) < 1 << 16 else 4
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -155,6 +164,7 @@ class Encoder:
         self.known: dict[str, bytes] = {}  # pre-tokens that no space starts, and first words
         self.after: dict[str, bytes | bool] = {}  # by what follows a space; False: not a piece of its own
         self.older: dict[str, bytes | bool] = {}  # the generation before
+        self.passing: list[tuple[dict, str]] = []  # long words, forgotten after their batch
         # where the byte-level pre-tokenizer cuts
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
 
@@ -169,25 +179,22 @@ class Encoder:
         """Whether a space and ``x`` are cut from what is around them."""
         return bool(x) and not (x[0].isspace() or x[-1].isspace() or x[0] in _SPACES or x[-1] in _SPACES)
 
-    def _encode_many(self, parts: list[str]) -> list[bytes]:
-        """Encode pre-tokens: those that start with a space and end otherwise side by
-        side in one text, cut again by byte lengths; the rest one by one."""
-        out: dict[str, bytes] = {}
-        kind = f"<u{self.width}"
-        side = [p for p in parts if len(p) > 1 and p[0] == " " and self._alone(p[1:])]
-        runs = [side[lo : lo + 512] for lo in range(0, len(side), 512)]
+    def _side_by_side(self, parts: list[str]) -> list[bytes]:
+        """Encode pre-tokens that start with a space and end otherwise, many in one text, cut again by byte lengths."""
+        out, kind, width = [], f"<u{self.width}", self.width
+        runs = [parts[lo : lo + 512] for lo in range(0, len(parts), 512)]
         for run, e in zip(runs, self.tokenizer.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, kind)
-            ends = np.cumsum(self.lengths[ids])
-            stops = np.searchsorted(ends, np.cumsum([len(p.encode()) for p in run])) + 1
+            sizes = [len(p) if p.isascii() else len(p.encode()) for p in run]
+            stops = (np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes)) + 1) * width
             data, at = ids.tobytes(), 0
-            for p, stop in zip(run, stops.tolist(), strict=True):
-                out[p] = data[at * self.width : stop * self.width]
+            for stop in stops.tolist():
+                out.append(data[at:stop])
                 at = stop
-        rest = [p for p in parts if p not in out]
-        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            out[p] = np.array(e.ids, kind).tobytes()
-        return [out[p] for p in parts]
+        return out
+
+    def _one_by_one(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def _cuts(self, x: str) -> list[str]:
         """Pre-tokens of a space and ``x``; the common kinds without the pattern."""
@@ -200,17 +207,19 @@ class Encoder:
     def _learn(self, parts: list[str]) -> None:
         """Put the parts, and the words that they are made of, into ``after``."""
         after, known = self.after, self.known
-        cuts = {x: self._cuts(x) if self._alone(x) else [] for x in parts}
+        plain = [x for x in parts if x.isalpha()]  # one pre-token with the space before it
+        cuts = {x: self._cuts(x) if self._alone(x) else [] for x in parts if not x.isalpha()}
         tokens = {t for c in cuts.values() for t in c}
         own = {t for t in tokens if t[0] == " " and self._alone(t[1:])}
-        led = [t for t in own if t[1:] not in after]
         rest = [t for t in tokens if t not in own and t not in known]
-        after.update(zip([t[1:] for t in led], self._encode_many(led), strict=True))
-        known.update(zip(rest, self._encode_many(rest), strict=True))
-        of = lambda t: after[t[1:]] if t in own else known[t]
+        led = list(set(plain).union(t[1:] for t in own if t[1:] not in after))
+        after.update(zip(led, self._side_by_side([" " + x for x in led]), strict=True))
+        known.update(zip(rest, self._one_by_one(rest), strict=True))
         for x, c in cuts.items():
-            if len(c) != 1:
-                after[x] = b"".join(map(of, c)) if c else False
+            if len(c) != 1 or c[0] not in own:
+                after[x] = b"".join([after[t[1:]] if t in own else known[t] for t in c]) if c else False
+        self.passing += [(after, x) for x in led if len(x) > LONGEST] + [(known, t) for t in rest if len(t) > LONGEST]
+        self.passing += [(after, x) for x in cuts if len(x) > LONGEST]
 
     def _whole(self, text: str) -> bytes:
         """Without cutting at spaces."""
@@ -232,7 +241,8 @@ class Encoder:
         stop = int(end).to_bytes(self.width, "little")
         out = []
         for lo in range(0, len(texts), 512):
-            split = [t.split(" ") if t else None for t in texts[lo : lo + 512]]
+            some = texts[lo : lo + 512]
+            split = [None if not t or any(a in t for a in self.added) else t.split(" ") for t in some]
             every = list(set().union(*(x for x in split if x)))
             here = dict(zip(every, map(self.after.get, every), strict=True))
             missing = [x for x, ids in here.items() if ids is None]
@@ -249,10 +259,11 @@ class Encoder:
             get = here.__getitem__
             # first parts have no space before them
             heads = list({x[0] for x in split if x and x[0] not in self.known})
-            self.known.update(zip(heads, self._encode_many(heads), strict=True))
-            for parts in split:
+            self.known.update(zip(heads, self._one_by_one(heads), strict=True))
+            self.passing += [(self.known, h) for h in heads if len(h) > LONGEST]
+            for text, parts in zip(some, split, strict=True):
                 if parts is None:
-                    out.append(stop)
+                    out.append(self._whole(text) + stop if text else stop)
                     continue
                 if len(parts) > 1 and not self._alone(parts[0]):
                     out.append(self._odd(parts, here) + stop)
@@ -263,6 +274,9 @@ class Encoder:
                     out.append(self._odd(parts, here) + stop)
                 else:
                     out.append(self.known[parts[0]] + rest + stop)
+            for held, word in self.passing:
+                held.pop(word, None)
+            self.passing.clear()
         return out
 
 
@@ -272,10 +286,10 @@ def _tokenize(path: str, end: int, bounds: list[int]):
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                doc = part.column("doc_id")
+                doc, place = part.column("doc_id"), part.column("position")
                 shard = np.where(doc.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(edges, doc.fill_null(0).to_numpy(), "left"))
                 ids = pa.array(encoder.encode(part.column("text").to_pylist(), end), pa.binary())
-                yield pa.RecordBatch.from_arrays([doc, pa.array(shard, pa.int32()), ids], names=["doc_id", "shard", "ids"])
+                yield pa.RecordBatch.from_arrays([doc, place, pa.array(shard, pa.int32()), ids], names=["doc_id", "position", "shard", "ids"])
         C.release()
 
     return run
@@ -283,26 +297,28 @@ def _tokenize(path: str, end: int, bounds: list[int]):
 
 def _blocks(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held, size, at, block, shard = [], [], 0, 0, 0, None
+        names, places, held, size, at, block, shard = [], [], [], 0, 0, 0, None
 
         def flush():
-            nonlocal names, held, size, at, block
+            nonlocal names, places, held, size, at, block
             row = pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([at], pa.int64()), pa.array([size // width], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([write_block(held, width)], pa.binary())],
-                names=["shard", "block", "start", "n_ids", "doc_ids", "data"],
+                [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([at], pa.int64()), pa.array([size // width], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([places], pa.list_(pa.int64())), pa.array([write_block(held, width)], pa.binary())],
+                names=["shard", "block", "start", "n_ids", "doc_ids", "positions", "data"],
             )
             at, block = at + size // width, block + 1
-            names, held, size = [], [], 0
+            names, places, held, size = [], [], [], 0
             return row
 
         for batch in batches:
             shards = batch.column("shard").to_pylist()
-            for s, d, ids in zip(shards, batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+            for s, d, place, ids in zip(shards, batch.column("doc_id").to_pylist(), batch.column("position").to_pylist(), batch.column("ids"), strict=True):
+                ids = ids.as_py()
                 if held and (s != shard or size + len(ids) > BLOCK_BYTES):
                     yield flush()
                 if s != shard:
                     shard, at, block = s, 0, 0
                 names.append(d)
+                places.append(place)
                 held.append(ids)
                 size += len(ids)
         if held:
@@ -312,26 +328,27 @@ def _blocks(width: int):
     return run
 
 
-def write_ids(docs: DataFrame, tokenizer: str, path: str, end: int = 0, shards: int | None = None) -> None:
-    """Encode ``docs`` and write the id blocks as a table at ``path``."""
+def write_ids(docs: DataFrame, tokenizer: str, path: str, end: int = 0, shards: int | None = None, position: Column | None = None) -> None:
+    """Encode ``docs`` and write the id blocks as a table at ``path``; ``position`` (long) goes with each document."""
     spark = docs.sparkSession
     C.ship(spark)
     shards = shards or C.shuffle_partitions(spark)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    place = F.lit(None).cast("long") if position is None else position
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), place.alias("position"), F.col("text").cast("string").alias("text"))
     cuts = [F.lit(i / shards) for i in range(1, shards)]
     bounds = slim.agg(F.percentile_approx("doc_id", F.array(*cuts), 100 * shards)).first()[0] if cuts else None
     width = Encoder.of(tokenizer).width
     bounds = sorted(set(bounds or []))
-    coded = slim.mapInArrow(_tokenize(tokenizer, end, bounds), "doc_id long, shard int, ids binary")
-    ordered = coded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids")
-    blocks = ordered.mapInArrow(_blocks(width), "shard int, block int, start long, n_ids long, doc_ids array<long>, data binary")
+    coded = slim.mapInArrow(_tokenize(tokenizer, end, bounds), "doc_id long, position long, shard int, ids binary")
+    ordered = coded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids", "position")
+    blocks = ordered.mapInArrow(_blocks(width), "shard int, block int, start long, n_ids long, doc_ids array<long>, positions array<long>, data binary")
     blocks.write.option("compression", "zstd").parquet(path)
 
 
 def _documents(base: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, start, names, data in zip(*[batch.column(c) for c in ("shard", "start", "doc_ids", "data")], strict=True):
+            for shard, start, names, places, data in zip(*[batch.column(c) for c in ("shard", "start", "doc_ids", "positions", "data")], strict=True):
                 boundaries, ids = read_block(data.as_py())
                 ends = boundaries.decode()
                 begin = np.concatenate([[0], ends[:-1]])
@@ -339,28 +356,44 @@ def _documents(base: dict[int, int]):
                 crc = [zlib.crc32(wide[a:b].data) for a, b in zip(begin, ends, strict=True)]
                 first = base[shard.as_py()] + start.as_py()
                 yield pa.RecordBatch.from_arrays(
-                    [names.values.cast(pa.int64()), pa.array(begin + first, pa.int64()), pa.array(ends - begin, pa.int64()), pa.array(crc, pa.int64())],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
+                    [names.values.cast(pa.int64()), pa.array(begin + first, pa.int64()), pa.array(ends - begin, pa.int64()), pa.array(crc, pa.int64()), places.values.cast(pa.int64())],
+                    names=["doc_id", "start", "n_tokens", "ids_crc32", "position"],
                 )
+        C.release()
 
     return run
 
 
 def read_documents(docs_path: str, spark) -> DataFrame:
-    """Per document of the block table at ``docs_path``: doc_id, start, n_tokens, ids_crc32."""
+    """Per document of the block table at ``docs_path``: doc_id, start, n_tokens, ids_crc32, position."""
     C.ship(spark)
     blocks = spark.read.parquet(docs_path)
     totals = sorted((r[0], r[1]) for r in blocks.groupBy("shard").agg(F.sum("n_ids")).collect())
     base, so_far = {}, 0
     for shard, n in totals:
         base[shard], so_far = so_far, so_far + n
-    return blocks.select("shard", "start", "doc_ids", "data").mapInArrow(
-        _documents(base), "doc_id long, start long, n_tokens long, ids_crc32 long"
+    return blocks.select("shard", "start", "doc_ids", "positions", "data").mapInArrow(
+        _documents(base), "doc_id long, start long, n_tokens long, ids_crc32 long, position long"
     )
 
 
-def token_output(docs: DataFrame, tokenizer: str, path: str | None = None, end: int = 0) -> DataFrame:
+def row_order(docs: DataFrame) -> Column:
+    """A long that ascends with the rows of a Parquet table as it was written (null for any other frame): part number, then row.
+
+    The mixing stage range-sorts its rows, so in the pipeline this is the order in which the mix wants to train.
+    """
+    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long")
+    made = F.shiftleft(part, 40) + F.col("_metadata.row_index")
+    try:
+        docs.select(made)
+    except AnalysisException:  # not the scan of a file
+        return F.lit(None).cast("long")
+    return made
+
+
+def token_output(docs: DataFrame, tokenizer: str, path: str | None = None, end: int = 0, position: Column | None = None) -> DataFrame:
     """Write the id blocks and report them as read back."""
     path = path or C.new_path(docs.sparkSession, "ids")
-    write_ids(docs, tokenizer, path, end)
-    return read_documents(path, docs.sparkSession)
+    write_ids(docs, tokenizer, path, end, position=position)
+    read = read_documents(path, docs.sparkSession)
+    return read.drop("position") if position is None else read
