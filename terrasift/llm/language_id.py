@@ -14,9 +14,12 @@ their contexts. A state only depends on the last ``order`` bytes, so a long text
 is cut into stretches that start ``order`` bytes early, and all stretches of a
 batch are walked side by side in NumPy.
 
-Training sample (its bounds are parameters): of the documents given, those of
-at most ``max_bytes`` bytes with text and language, the first ``per_language``
-distinct texts of each of the ``max_languages`` most frequent languages by a hash of the text.
+Training sample (its bounds are parameters): of the documents given, of every
+language, the first ``per_language`` distinct texts. Texts of at most ``max_bytes``
+bytes come first, by a hash of the text, and longer ones after them, the shortest
+first; the sample ends before the text at which it has ``per_language`` times
+``max_bytes`` bytes. So each text learnt from is whole, and a language with
+long texts only is learnt from the shortest of those.
 
 Predictions read the text alone. A null text, or one without a letter, is
 ``und`` with score 0 and no code length. Ties fall to the first language by code
@@ -36,33 +39,34 @@ from pyspark.sql import functions as F
 from terrasift.llm import _common as C
 
 ORDER, STRETCH = 3, 512
-PER_LANGUAGE, MAX_BYTES, MAX_LANGUAGES, MIN_CONTEXT = 64, 16_384, 256, 2
+PER_LANGUAGE, MAX_BYTES = 64, 16_384
 #: A text that costs more bits a byte than this (raw bytes cost 8) in every language is in none of them.
 REJECT_BITS = 12.0
 
 
-def training_rows(docs: DataFrame, train: Column, per_language: int = PER_LANGUAGE, max_bytes: int = MAX_BYTES, max_languages: int = MAX_LANGUAGES) -> list[tuple[str, str]]:
+def training_rows(docs: DataFrame, train: Column, per_language: int = PER_LANGUAGE, max_bytes: int = MAX_BYTES) -> list[tuple[str, str]]:
     """(lang, text) of the bounded sample; only hashes and sizes of other rows move."""
     text = F.col("text").cast("string")
     known = docs.where(train & text.isNotNull() & F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), text.alias("text"))
-    fits = known.where((F.octet_length("text") <= max_bytes) & F.col("text").rlike(r"\p{L}"))
-    marked = fits.select("lang", F.xxhash64("text").alias("h"))
-    frequent = [r[0] for r in marked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    first = marked.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= per_language)
-    cut = {r[0]: r[1] for r in first.groupBy("lang").agg(F.max("h")).collect() if r[0] in set(frequent)}
-    if not cut:
-        return []
-    chosen = F.lit(False)
-    for lang, h in cut.items():
-        chosen = chosen | ((F.col("lang") == lang) & (F.xxhash64("text") <= h))
-    rows = fits.where(chosen).dropDuplicates(["lang", "text"]).collect()
+    known = known.where(F.col("text").rlike(r"\p{L}"))
+    size = F.octet_length("text")
+    marked = known.select("lang", F.greatest(size, F.lit(max_bytes)).alias("over"), F.xxhash64("text").alias("h"), size.alias("size")).distinct()
+    first = Window.partitionBy("lang").orderBy("over", "h")
+    ranked = marked.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_language)
+    so_far = F.sum("size").over(first.rowsBetween(Window.unboundedPreceding, -1))
+    taken = ranked.withColumn("before", F.coalesce(so_far, F.lit(0))).where(F.col("before") < per_language * max_bytes)
+    cut = taken.groupBy("lang").agg(F.max(F.struct("over", "h")).alias("last"))
+    # the cut of each language is one row; all languages learnt are in the model anyway
+    last = F.broadcast(cut.select(F.col("lang").alias("l"), "last"))
+    upto = F.struct(F.greatest(size, F.lit(max_bytes)).alias("over"), F.xxhash64("text").alias("h")) <= F.col("last")
+    rows = known.join(last, F.col("lang") == F.col("l")).where(upto).select("lang", "text").dropDuplicates(["lang", "text"]).collect()
     return sorted((r[0], r[1]) for r in rows)
 
 
 class Model:
     """The frozen trees of all languages as one automaton with a code length per language, state and symbol."""
 
-    def __init__(self, rows: list[tuple[str, str]], order: int = ORDER, min_context: int = MIN_CONTEXT):
+    def __init__(self, rows: list[tuple[str, str]], order: int = ORDER):
         self.order = order
         self.languages = sorted({lang for lang, _ in rows})
         counts = [self._counts([t.encode() for lang, t in rows if lang == name]) for name in self.languages]
@@ -72,7 +76,7 @@ class Model:
         for i, b in enumerate(seen):
             self.symbol[b] = i
         n = len(seen) + 1
-        states = sorted({ctx for c in counts for ctx, at in c.items() if ctx == b"" or sum(at.values()) >= min_context}, key=lambda x: (len(x), x)) or [b""]
+        states = sorted({ctx for c in counts for ctx in c}, key=lambda x: (len(x), x)) or [b""]
         place = {ctx: i for i, ctx in enumerate(states)}
         self.n_symbols = n
         self.next = np.zeros((len(states), n), np.int32)
@@ -87,7 +91,7 @@ class Model:
             p = np.zeros((len(states), n))
             for i, ctx in enumerate(states):
                 at = c.get(ctx)
-                if at is None or (ctx and sum(at.values()) < min_context):
+                if at is None:
                     p[i] = p[suffix[i]]
                     continue
                 where = self.symbol[list(at)].astype(np.int64)
@@ -97,15 +101,15 @@ class Model:
                     # mass of all 256 bytes that is left below, unseen bytes counted each
                     left = 1.0 - lower[where].sum()
                     lower[where] = 0.0
-                    if left <= 1e-12:
+                    if kinds == 256:  # nothing to escape to
                         p[i, where] = np.array(list(at.values())) / total
-                        p[i] = np.maximum(p[i], 1e-12)
                         continue
                     p[i] = lower * (kinds / (total + kinds) / left)
                 else:
                     p[i] = kinds / (total + kinds) / max(1, 256 - kinds)
                 p[i, where] = np.array(list(at.values())) / (total + kinds)
-            self.bits[:, :, k] = -np.log2(p)
+            # zero only where all 256 bytes are seen, at the slot of those that no language has
+            self.bits[:, :, k] = -np.log2(np.where(p > 0, p, 1.0))
         self._flat_next = self.next.reshape(-1)
         self._flat_bits = self.bits.reshape(-1, self.bits.shape[2])
 
@@ -199,14 +203,13 @@ def _accept(shared, reject_bits: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         for batch in batches:
-            data, offsets = C.texts_of(batch.column("text"))
-            keep = batch.column("_letter").fill_null(False).to_numpy(zero_copy_only=False).copy()
+            data, offsets = C.texts_of(batch.column("row").field("text"))
+            keep = batch.column("letter").fill_null(False).to_numpy(zero_copy_only=False).copy()
             for lo, hi in C.pieces(offsets, 1 << 20) if model.languages else ():
                 part = offsets[lo : hi + 1]
                 bits = model.code_lengths(data[part[0] : part[-1]], part - part[0])
                 keep[lo:hi] &= bits.min(axis=1) <= reject_bits * np.maximum(1, np.diff(part))
-            out = batch.filter(pa.array(keep))
-            yield out.drop_columns(["_letter"])
+            yield batch.select(["row"]).filter(pa.array(keep))
         C.release()
 
     return run
@@ -220,5 +223,7 @@ def identified(docs: DataFrame, model: Model, reject_bits: float = REJECT_BITS)
     """
     spark = docs.sparkSession
     C.ship(spark)
-    marked = docs.withColumn("_letter", F.col("text").cast("string").rlike(r"\p{L}"))
-    return marked.mapInArrow(_accept(spark.sparkContext.broadcast(model), reject_bits), docs.schema)
+    # the columns travel in one struct, so that no name of theirs can clash
+    marked = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").rlike(r"\p{L}").alias("letter"))
+    kept = marked.mapInArrow(_accept(spark.sparkContext.broadcast(model), reject_bits), marked.select("row").schema)
+    return kept.select("row.*")
