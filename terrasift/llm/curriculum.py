@@ -24,7 +24,7 @@ documents of their own. Extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrasift.llm import _common as C
@@ -32,6 +32,12 @@ from terrasift.llm import _common as C
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def queue_key(doc_id: Column, text: Column) -> Column:
+    """The pseudo-random place of a document in its source's queue: 60 bits of its doc_id's MD5 (of its text's, where doc_id is null)."""
+    name = F.coalesce(doc_id.cast("long").cast("string"), F.md5(F.encode(text, "UTF-8")), F.lit(""))
+    return F.conv(F.substring(F.md5(F.encode(name, "UTF-8")), 1, 15), 16, 10).cast("long")
+
+
 def sources_of(slim: DataFrame, weights: tuple[float, ...], share: float, most: float, ramps: tuple[float, ...]) -> DataFrame:
     """One row per source: source, source_size, rows, target, ramp."""
     base = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
@@ -72,7 +78,8 @@ def curriculum_mix(
             F.col("source").cast("string").alias("source"),
             F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             F.xxhash64(text).alias("text_hash"),
-        ).withColumn("h", F.xxhash64(F.lit(17), "doc_id", "text_hash")),
+            queue_key(F.col("doc_id"), text).alias("h"),
+        ),
         "sizes",
     )
     sources = C.materialize(sources_of(slim, weights, share, most, ramps), "sources")
@@ -111,23 +118,28 @@ def curriculum_mix(
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them (a document taken in part stays whole
-    if half its words or more are taken), with all their columns.
+    """The rows of ``docs`` as often as the mix takes them, in the order of their training
+    positions, with all their columns. A document taken in part stays whole if half its words
+    or more are taken.
 
-    Rows alike in doc_id, source and text share their copies evenly, rounded up.
+    Rows alike in doc_id, source and text are one document to the reader: any one of them
+    stands at each place that the mix gives to one of them.
     """
-    mix = curriculum_mix(docs, **how)
-    whole = F.size(F.filter("placements", lambda p: 2 * p["words"] >= F.col("size")))
-    copies = (
-        mix.groupBy("doc_id", "source", "text_hash")
-        .agg(F.ceil(F.sum(whole) / F.count("*")).cast("int").alias("_copies"))
-        .where("_copies > 0")
-        .select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text_hash").alias("_t"), "_copies")
-    )
-    same = (
-        F.col("doc_id").cast("long").eqNullSafe(F.col("_d"))
-        & F.col("source").cast("string").eqNullSafe(F.col("_s"))
-        & (F.xxhash64(F.col("text").cast("string")) == F.col("_t"))
-    )
-    out = docs.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.select(*docs.columns)
+    key = ["d", "s", "t"]
+    mix = curriculum_mix(docs, **how).select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("text_hash").alias("t"), "size", "placements")
+    mix = C.materialize(mix, "mix")
+    places = mix.withColumn("p", F.explode("placements")).where(2 * F.col("p.words") >= F.col("size")).select(*key, F.col("p.position").alias("position"))
+    again = C.materialize(mix.groupBy(*key).count().where("count > 1").select(*key), "again")
+    # the columns travel in one struct, so that no name of theirs can clash
+    names = [F.col("doc_id").cast("long").alias("d"), F.col("source").cast("string").alias("s"), F.xxhash64(F.col("text").cast("string")).alias("t")]
+    whole = docs.select(F.struct("*").alias("row"), *names)
+
+    def same(other: DataFrame) -> Column:
+        return F.col("d").eqNullSafe(other["d2"]) & F.col("s").eqNullSafe(other["s2"]) & (F.col("t") == other["t2"])
+
+    second = {c: f"{c}2" for c in key}
+    again, places = again.withColumnsRenamed(second), places.withColumnsRenamed(second)
+    marked = whole.join(again, same(again), "left")
+    single, twice = marked.where("t2 is null"), marked.where("t2 is not null").dropDuplicates(key)
+    held = single.select("row", *key).unionAll(twice.select("row", *key))
+    return held.join(places, same(places)).orderBy("position", "d", "t").select("row.*")

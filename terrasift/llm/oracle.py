@@ -67,5 +67,31 @@ FROM documents d JOIN reach r ON r.x = d.doc_id LEFT JOIN sizes USING (doc_id) G
 """
 
 
+_MIX = r"""
+WITH docs AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), md5(text), '')), 1, 15) AS BIGINT) AS h FROM documents
+), base AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM docs GROUP BY source
+), weighed AS (
+  SELECT *, [3.0::DOUBLE, 1, 2][rank % 3 + 1] AS weight, [0.5::DOUBLE, -0.5, 0][rank % 3 + 1] AS ramp, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS words FROM base
+), tried AS (
+  SELECT *, cap / weight AS level, (words - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM weighed
+), found AS (SELECT min((level, rank, share)) FILTER (share <= level) AS f FROM tried), targets AS (
+  SELECT source, source_size, n, ramp, least(cap, coalesce(f[3] * weight, cap)) AS target FROM tried, found
+), placed AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.ramp, CAST(round_even(t.target, 0) AS BIGINT) AS due,
+    CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h % CAST(ceil(sqrt(n)) AS BIGINT), h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS lap
+  FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+), taken AS (
+  SELECT *, greatest(0, least(due - lap, size)) AS once, greatest(0, least(due - lap - source_size, size)) AS twice, CASE WHEN due > 0 THEN CAST(lap AS DOUBLE) / due END AS u FROM placed
+)
+SELECT doc_id, size, source_size, target, CAST(once + twice AS BIGINT) AS taken,
+  CASE WHEN once > 0 THEN 2 * u / (1 + ramp + sqrt(greatest(0.0::DOUBLE, (1 + ramp) * (1 + ramp) - 4 * ramp * u))) END AS position
+FROM taken
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_benchmark_leaks": _LEAKS, "op8_exact_topk": _TOPK, "op9_line_dedup": _LINES, "op10_near_dedup": _NEAR}
+    return {"op3_curriculum_mix": _MIX, "op6_benchmark_leaks": _LEAKS, "op8_exact_topk": _TOPK, "op9_line_dedup": _LINES, "op10_near_dedup": _NEAR}
