@@ -34,8 +34,8 @@ from terrasift.llm import _common as C
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Distinct words that a worker remembers.
-MEMORY = 1_000_000
+#: Distinct words that a worker remembers, and the characters of the longest of them.
+MEMORY, LONGEST = 600_000, 48
 
 
 def unigram_vocabulary(model_path: str) -> list[tuple[str, float]]:
@@ -159,18 +159,20 @@ class Counter:
         return result
 
     def count_words(self, words: list[str]) -> dict[str, int]:
+        """Pieces of each word; long words are not remembered, so memory is bounded in bytes."""
         fresh = [w for w in words if w not in self.known]
         if len(self.known) + len(fresh) > MEMORY:
             self.known.clear()
             fresh = words
         short = sorted((w for w in fresh if len(w) <= 256), key=len)
+        made: dict[str, int] = {}
         for lo in range(0, len(short), 65_536):
             some = short[lo : lo + 65_536]
-            self.known.update(zip(some, self.count([(MARK + w).encode() for w in some]).tolist(), strict=True))
-        for w in fresh:
-            if len(w) > 256:
-                self.known[w] = self.count_long((MARK + w).encode())
-        return self.known
+            made.update(zip(some, self.count([(MARK + w).encode() for w in some]).tolist(), strict=True))
+        made.update((w, self.count_long((MARK + w).encode())) for w in fresh if len(w) > 256)
+        self.known.update((w, n) for w, n in made.items() if len(w) <= LONGEST)
+        known = self.known
+        return {w: made[w] if w in made else known[w] for w in words}
 
     def count_long(self, word: bytes) -> int:
         """One word, place by place: the same program without a batch to fill."""
@@ -237,6 +239,7 @@ def _count(path: str):
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([len(w) for w in split], pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "n_words", "n_pieces"]
                 )
+        C.release()
 
     return run
 
