@@ -13,7 +13,7 @@ as it is and keeps them linear on long runs of letters or digits.
 
 The model reads the stretches around digits and at-signs, also spelt-out ones:
 ``(at)``, ``[at]``, and `` at `` before a domain with a dot, plain or spelt out. Their tokens are
-segmented jointly: each segment is one token that belongs to no entity, or an
+segmented jointly, ``LONGEST`` tokens on both sides of such a core: each segment is one token that belongs to no entity, or an
 entity of up to ``LONGEST`` tokens with a kind. Features describe the whole span:
 its shape, digit count, Luhn and address tests, and the characters on both sides.
 Training maximises the likelihood of whole segmentations (forward-backward
@@ -31,18 +31,23 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrasift.llm import _common as C
 
 KINDS = ("email", "ip", "card", "phone")
+#: Tokens of the longest entity, the bound of the dynamic program; base spans have none.
 LONGEST = 16
+#: A span of more digits that is no address is of no kind: cards have 19 at most, telephone numbers 15.
+DIGITS = 24
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -100,8 +105,9 @@ def base_spans(text: str) -> list[Span]:
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]")
 _CORE = re.compile(r"[0-9@]+")
 _SPELT = re.compile(r"\(at\)|\[at\]| at (?=[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]| ?(?:\(dot\)|\[dot\]) ?[A-Za-z0-9-]| dot [A-Za-z0-9-]))")
-_REACH = 48
-_LEFT, _RIGHT = re.compile(r"[A-Za-z0-9._%+()\[\] -]*\Z"), re.compile(r"[A-Za-z0-9.()\[\] -]*")
+# what an entity may have before and after a core: as many tokens as an entity has at most
+_LEFT = regex.compile(rf"(?r)(?:[A-Za-z]+|[0-9]+|[._%+()\[\] -]){{0,{LONGEST}}}+")
+_RIGHT = regex.compile(rf"(?:[A-Za-z]+|[0-9]+|[.()\[\] -]){{0,{LONGEST}}}+")
 
 
 def _cores(text: str) -> list[tuple[int, int]]:
@@ -116,11 +122,8 @@ def stretches(text: str) -> list[tuple[int, int]]:
     """Parts of the text around digits and at-signs, each core with what an entity may have around it."""
     out: list[list[int]] = []
     for start, end in _cores(text):
-        lo = max(0, start - _REACH)
-        a = lo + _LEFT.search(text[lo:start]).start()
-        while a < start and a > 0 and a == lo and text[a].isalnum():  # don't start inside a word
-            a += 1
-        b = _RIGHT.match(text, end, end + _REACH).end()
+        a = _LEFT.match(text, out[-1][1] if out else 0, max(start, out[-1][1] if out else 0)).start()
+        b = _RIGHT.match(text, end).end()
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -140,7 +143,6 @@ _MAIL_LIKE = re.compile(r"[A-Za-z0-9._%+-]+ ?(@|\(at\)|\[at\]| at ) ?[A-Za-z0-9-
 _QUAD = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
 
 
-@lru_cache(maxsize=100_000)
 def _span_features(s: str, left: str, right: str) -> tuple[str, ...]:
     d = _digits(s)
     out = [f"L:{left}", f"R:{right}", f"n:{min(len(d), 20)}", f"first:{_side(s[0])}", f"last:{_side(s[-1])}"]
@@ -160,36 +162,46 @@ def _span_features(s: str, left: str, right: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+_remembered = lru_cache(maxsize=100_000)(_span_features)
+
+
 class Lattice:
     """The candidate segments of one stretch: (from token, to token, kind or -1, features)."""
 
     def __init__(self, text: str, a: int, b: int):
-        cut = [(a + m.start(), a + m.end()) for m in _TOKEN.finditer(text[a:b])]
-        self.n, self.at = len(cut), cut
-        self.segments: list[tuple[int, int, int, tuple[str, ...]]] = []
-        for i, (x, y) in enumerate(cut):
-            t = text[x:y]
-            self.segments.append((i, i + 1, -1, ("o", f"o:{_shape(t)}")))
-            if t.isspace() or t in ".,)]-":
+        self.text = text
+        self.starts = array("q", (a + m.start() for m in _TOKEN.finditer(text[a:b])))
+        self.ends = array("q", [*self.starts[1:], b]) if self.starts else array("q")
+        self.n = len(self.starts)
+
+    def at(self, i: int) -> Iterator[tuple[int, int, int, tuple[str, ...]]]:
+        """The segments that start at token i, made anew at each call, so that a long stretch is never held whole."""
+        text, starts, ends = self.text, self.starts, self.ends
+        x = starts[i]
+        t = text[x : ends[i]]
+        yield i, i + 1, -1, ("o", f"o:{_shape(t[:64])}")
+        if t.isspace() or t in ".,)]-":
+            return
+        digits, has_at = 0, False
+        for j in range(i, min(self.n, i + LONGEST)):
+            u = text[starts[j] : ends[j]]
+            if u.isdigit():
+                digits += len(u)
+            has_at |= u in ("@", "at")
+            if u.isspace() or u in ".,([-" or not (digits >= 7 or (digits >= 4 and j - i >= 6) or has_at):
                 continue
-            digits = 0
-            has_at = False
-            for j in range(i, min(self.n, i + LONGEST)):
-                u = text[cut[j][0] : cut[j][1]]
-                if u.isdigit():
-                    digits += len(u)
-                has_at |= u in ("@", "at")
-                if digits > 24:
-                    break
-                if u.isspace() or u in ".,([-" or not (digits >= 7 or (digits >= 4 and j - i >= 6) or has_at):
-                    continue
-                s = text[x : cut[j][1]]
-                left = _side(text[x - 1 : x] if x else "")
-                right = _side(text[cut[j][1] : cut[j][1] + 1])
-                features = _span_features(s, left, right)
-                for k in range(4):
-                    if (k == 0) == has_at:
-                        self.segments.append((i, j + 1, k, features))
+            if digits > DIGITS and not has_at:
+                continue
+            s = text[x : ends[j]]
+            features = (_remembered if len(s) <= 64 else _span_features)(s, _side(text[x - 1 : x] if x else ""), _side(text[ends[j] : ends[j] + 1]))
+            for k in range(4):
+                if (k == 0) == has_at:
+                    yield i, j + 1, k, features
+
+    def __iter__(self) -> Iterator[tuple[int, int, int, tuple[str, ...]]]:
+        """All segments, by start."""
+        for i in range(self.n):
+            yield from self.at(i)
 
 
 class SemiCRF:
@@ -198,9 +210,9 @@ class SemiCRF:
     def __init__(self):
         self.weights: dict[tuple[int, str], float] = {}
 
-    def _scores(self, lattice: Lattice) -> list[float]:
-        get = self.weights.get
-        return [sum(get((k, f), 0.0) for f in features) for _, _, k, features in lattice.segments]
+    def _score(self, segment) -> float:
+        get, k = self.weights.get, segment[2]
+        return sum(get((k, f), 0.0) for f in segment[3])
 
     def fit(self, data: list[tuple[Lattice, set[tuple[int, int, int]]]], epochs: int = 6, rate: float = 0.5, decay: float = 1e-4) -> SemiCRF:
         seen: dict[tuple[int, str], float] = {}
@@ -208,20 +220,21 @@ class SemiCRF:
         for _ in range(epochs):
             order.shuffle(data)
             for lattice, gold in data:
-                scores = self._scores(lattice)
+                segments = list(lattice)
+                scores = [self._score(x) for x in segments]
                 forward = np.full(lattice.n + 1, -np.inf)
                 backward = np.full(lattice.n + 1, -np.inf)
                 forward[0] = backward[lattice.n] = 0.0
-                for (i, j, _, _), s in zip(lattice.segments, scores, strict=True):  # segments come by start
+                for (i, j, _, _), s in zip(segments, scores, strict=True):  # segments come by start
                     forward[j] = np.logaddexp(forward[j], forward[i] + s)
-                for (i, j, _, _), s in zip(reversed(lattice.segments), reversed(scores), strict=True):
+                for (i, j, _, _), s in zip(reversed(segments), reversed(scores), strict=True):
                     backward[i] = np.logaddexp(backward[i], backward[j] + s)
                 total = forward[lattice.n]
                 inside = np.zeros(lattice.n, bool)
                 for i, j, _ in gold:
                     inside[i:j] = True
                 gradient: dict[tuple[int, str], float] = {}
-                for (i, j, k, features), s in zip(lattice.segments, scores, strict=True):
+                for (i, j, k, features), s in zip(segments, scores, strict=True):
                     true = (i, j, k) in gold if k >= 0 else not inside[i]
                     g = float(true) - float(np.exp(forward[i] + s + backward[j] - total))
                     if abs(g) > 1e-6:
@@ -235,18 +248,18 @@ class SemiCRF:
 
     def decode(self, lattice: Lattice) -> list[Span]:
         """The entities of the best segmentation; ties fall to the segment tried first."""
-        best, back = [float("-inf")] * (lattice.n + 1), [None] * (lattice.n + 1)
-        best[0] = 0.0
-        for segment, s in zip(lattice.segments, self._scores(lattice), strict=True):
-            i, j = segment[0], segment[1]
-            if best[i] + s > best[j]:
-                best[j], back[j] = best[i] + s, segment
+        best = array("d", [0.0, *[float("-inf")] * lattice.n])
+        back, kind = array("q", [0]) * (lattice.n + 1), array("b", [-1]) * (lattice.n + 1)
+        for segment in lattice:
+            i, j, k, _ = segment
+            s = best[i] + self._score(segment)
+            if s > best[j]:
+                best[j], back[j], kind[j] = s, i, k
         out, j = [], lattice.n
         while j:
-            i, _, k, _ = back[j]
-            if k >= 0:
-                out.append((lattice.at[i][0], k, lattice.at[j - 1][1]))
-            j = i
+            if kind[j] >= 0:
+                out.append((lattice.starts[back[j]], kind[j], lattice.ends[j - 1]))
+            j = back[j]
         return out[::-1]
 
 
@@ -303,10 +316,10 @@ def model() -> SemiCRF:
     for text, spans in training_set():
         for a, b in stretches(text):
             lattice = Lattice(text, a, b)
-            starts = {x: i for i, (x, _) in enumerate(lattice.at)}
-            ends = {y: i + 1 for i, (_, y) in enumerate(lattice.at)}
+            starts = {x: i for i, x in enumerate(lattice.starts)}
+            ends = {y: i + 1 for i, y in enumerate(lattice.ends)}
             gold = {(starts[x], ends[y], k) for x, k, y in spans if x in starts and y in ends}
-            held = {(i, j, k) for i, j, k, _ in lattice.segments}
+            held = {(i, j, k) for i, j, k, _ in lattice}
             data.append((lattice, gold & held))
     return SemiCRF().fit(data)
 
@@ -349,6 +362,7 @@ def _report(shared):
                     [part.column("doc_id"), *counts, pa.array(digests, pa.string()), pa.array([_text_of(s) for _, s in found], pa.string())],
                     names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"],
                 )
+        C.release()
 
     return run
 
