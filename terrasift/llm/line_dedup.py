@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from terrasift.llm import _common as C
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LAST = (1 << 63) - 1
 
 
 def ascii_lower(text: Column) -> Column:
@@ -40,54 +39,46 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")))
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_doc"),
-        F.xxhash64(F.coalesce(text, F.lit(""))).alias("_text"),
-        lines_of(text).alias("_lines"),
-    )
-
-
 def dropped_positions(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
-    """_doc, _text (a hash) and the array of line positions to drop, where there are any."""
-    lines = _numbered(docs).select("_doc", "_text", F.posexplode("_lines").alias("pos", "line"))
-    keyed = lines.select("_doc", "_text", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
-    hashed = C.materialize(
-        keyed.select("_doc", "_text", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2")), "lines"
-    )
-    seen = F.count_distinct("_doc") if min_docs > 2 else F.when(F.min("_doc") < F.max("_doc"), 2).otherwise(1)
-    common = hashed.groupBy("h1", "h2").agg(F.min("_doc").alias("holder"), seen.alias("n_docs")).where(F.col("n_docs") >= min_docs)
-    common = common.select("h1", "h2", "holder")
-    drop = hashed.join(common, ["h1", "h2"]).where("_doc <> holder")
-    return drop.groupBy("_doc", "_text").agg(F.collect_set("pos").alias("_drop"))
+    """d (doc_id), t (a hash of the text) and the array ``gone`` of line positions to drop, where there are any."""
+    text = F.col("text").cast("string")
+    lines = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("t"), F.posexplode(lines_of(text)).alias("pos", "line"))
+    keyed = lines.select("d", "t", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
+    hashed = C.materialize(keyed.select("d", "t", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2")), "lines")
+    named = F.count_distinct("d") if min_docs > 2 else F.when(F.min("d") < F.max("d"), 2).otherwise(F.count_if(F.col("d").isNotNull()).cast("boolean").cast("int"))
+    nameless = F.max(F.col("d").isNull()).cast("int")
+    common = hashed.groupBy("h1", "h2").agg(F.min("d").alias("holder"), (named + nameless).alias("n_docs")).where(F.col("n_docs") >= min_docs)
+    # written, so that both sides of the join are plain shuffles, of which adaptive execution splits a hot hash
+    common = C.materialize(common.select("h1", "h2", "holder"), "common")
+    drop = hashed.join(common, ["h1", "h2"]).where(~F.col("d").eqNullSafe(F.col("holder")))
+    return drop.groupBy("d", "t").agg(F.collect_set("pos").alias("gone"))
 
 
 def _rebuilt(docs: DataFrame, **limits: int) -> DataFrame:
-    text = F.col("text").cast("string")
-    drop = dropped_positions(docs, **limits).select(F.col("_doc").alias("_d"), F.col("_text").alias("_t"), "_drop")
-    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_text", F.xxhash64(F.coalesce(text, F.lit(""))))
-    joined = keyed.join(drop, (F.col("_doc") == F.col("_d")) & (F.col("_text") == F.col("_t")), "left").drop("_d", "_t", "_doc", "_text")
-    lines = joined.withColumn("_lines", lines_of(text))
-    every = F.sequence(F.lit(0), F.size("_lines") - 1)
-    stay = F.transform(F.array_except(every, "_drop"), lambda i: F.get("_lines", i))
-    return lines.withColumn(
-        "_kept", F.when(F.col("_drop").isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(stay, "\n"))
-    )
+    """row (all columns), lines, gone (null: none) and kept (the text rebuilt)."""
+    drop = dropped_positions(docs, **limits).select(F.col("d").alias("d2"), F.col("t").alias("t2"), "gone")
+    # the columns travel in one struct, so that no name of theirs can clash
+    text = F.col("row.text").cast("string")
+    keyed = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").cast("long").alias("d"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("t"))
+    joined = keyed.join(drop, F.col("d").eqNullSafe(F.col("d2")) & (F.col("t") == F.col("t2")), "left")
+    split = joined.select("row", "gone", lines_of(text).alias("lines"))
+    every = F.sequence(F.lit(0), F.size("lines") - 1)
+    stay = F.transform(F.array_except(every, "gone"), lambda i: F.get("lines", i))
+    return split.withColumn("kept", F.when(F.col("gone").isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(stay, "\n")))
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
     """``docs`` with the text of each row rebuilt; a null text stays null."""
     done = _rebuilt(docs, min_chars=min_chars, min_docs=min_docs)
-    return done.withColumn("text", F.when(F.col("text").isNotNull(), F.col("_kept"))).select(*docs.columns)
+    return done.select(F.col("row").withField("text", F.when(F.col("row.text").isNotNull(), F.col("kept"))).alias("row")).select("row.*")
 
 
 def line_report(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
     """Per row: doc_id, n_lines, n_dropped, kept_sha256."""
     done = _rebuilt(docs.select("doc_id", "text"), min_chars=min_chars, min_docs=min_docs)
     return done.select(
-        "doc_id",
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.sha2(F.col("_kept"), 256).alias("kept_sha256"),
+        F.col("row.doc_id").alias("doc_id"),
+        F.size("lines").cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.sha2(F.col("kept"), 256).alias("kept_sha256"),
     )
