@@ -11,21 +11,18 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import io
-import os
-import random
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from terrasift.functions.session import ship  # noqa: F401
+from terrasift.operators import graph
+from terrasift.operators.graph import folded  # noqa: F401
 
 _written: list[tuple[SparkSession, str]] = []
-_shipped: set[str] = set()
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -71,28 +68,6 @@ def _clean() -> None:
             return
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    name = os.path.basename(root)
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w") as z:
-        for folder, _, files in os.walk(root):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(folder, f)
-                    z.write(full, os.path.join(name, os.path.relpath(full, root)))
-    folder = os.path.realpath(tempfile.mkdtemp(prefix="terrasift-"))
-    path = os.path.join(folder, f"{name}-{uuid.uuid4().hex[:8]}.zip")
-    with open(path, "wb") as out:
-        out.write(buffer.getvalue())
-    sc.addPyFile(path)
-    _shipped.add(sc.applicationId)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -102,60 +77,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Label every node of an edge table with the smallest node it reaches.
-
-    ``edges(a, b)`` of long. Returns ``(node, label)`` for nodes on an edge.
-    Each round picks for each node a representative, the first of itself and its
-    neighbours in an order that changes from round to round (a pre-aggregated
-    group-by, so a hub with many neighbours is not gathered anywhere), follows the
-    representative's own once, and replaces the edges by those between
-    representatives: loops and repeats go, so the table shrinks by a constant
-    factor and the rounds are logarithmic, for a chain too. The first order is
-    the natural one, which folds the stars around smallest nodes at once.
-    Labels are read back through the rounds, whose tables shrink alike. All
-    tables are in the shared folder; one emptiness test a round reaches the driver.
-    """
-    rest = materialize(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    rounds: list[DataFrame] = []
-    order = random.Random(5)
-    while not rest.isEmpty():
-        flip = F.lit(order.getrandbits(63) if rounds else 0).cast("long")
-        both = rest.unionAll(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        first = F.least(F.min(F.col("b").bitwiseXOR(flip)), F.col("node").bitwiseXOR(flip)).bitwiseXOR(flip)
-        near = both.withColumnRenamed("a", "node").groupBy("node").agg(first.alias("near"))
-        over = near.select(F.col("node").alias("n"), F.col("near").alias("label"))
-        step = materialize(near.join(over, near.near == over.n).select("node", "label"), "cc")
-        rounds.append(step)
-        left = step.select(F.col("node").alias("a"), F.col("label").alias("x"))
-        right = step.select(F.col("node").alias("b"), F.col("label").alias("y"))
-        rest = materialize(
-            rest.join(left, "a").join(right, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges"
-        )
-    if not rounds:
-        return rest.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    label = rounds.pop()
-    while rounds:
-        later = label.select(F.col("node").alias("n"), F.col("label").alias("final"))
-        label = rounds.pop().join(later, F.col("label") == F.col("n"), "left").select("node", F.coalesce("final", "label").alias("label"))
-    label = materialize(label, "cc")
-    least = label.groupBy(F.col("label").alias("l")).agg(F.min("node").alias("least"))
-    return label.join(least, F.col("label") == F.col("l")).select("node", F.col("least").alias("label"))
-
-
-def folded(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nodes of some edges and the least node that each reaches by them."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        p, q = label[x], label[y]
-        some = np.flatnonzero(p != q)
-        if not len(some):
-            return nodes, nodes[label]
-        x, y, p, q = x[some], y[some], p[some], q[some]
-        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
-        while not np.array_equal(label[label], label):
-            label = label[label]
+    """``graph.components`` with its rounds as tables in the shared folder."""
+    return graph.components(edges, lambda df: materialize(df, "cc"))
 
 
 # --------------------------------------------------------------------------

@@ -75,7 +75,6 @@ def test_token_ids(spark, docs, rows):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-    tk.encode_special_tokens = True
     out = token_ids.token_output(docs, tokenizer_path("byte_bpe_50k.json")).collect()
     ids = {t: tk.encode(t or "", add_special_tokens=False).ids + [0] for t in {r[1] for r in rows}}
     ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
@@ -87,6 +86,34 @@ def test_token_ids(spark, docs, rows):
     same([tuple(r) for r in out], expected)
 
 
+def test_token_ids_added_tokens_and_positions(spark):
+    """As the library does by default, its added token in a text is one id; positions come back with their documents."""
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    texts = ["start <|endoftext|> end", "<|endoftext|>", "a<|endoftext|>b  c", "plain  text " + "x" * 500 + " end", "x" * 500]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = sorted(token_ids.token_output(docs, tokenizer_path("byte_bpe_50k.json"), position=10 - F.col("doc_id")).collect())
+    for (d, t), got in zip(enumerate(texts), out, strict=True):
+        x = [*tk.encode(t, add_special_tokens=False).ids, 0]
+        assert got[0] == d and got[2:] == (len(x), zlib.crc32(np.array(x, "<u4").tobytes()), 10 - d)
+    assert out[0].n_tokens == 5
+
+
+def test_long_words_are_not_remembered():
+    encoder = token_ids.Encoder(tokenizer_path("byte_bpe_50k.json"))
+    encoder.encode([f"{'y' * 200}{i} a {'z' * 300}{i}, b" for i in range(50)], 0)
+    assert max(map(len, [*encoder.after, *encoder.known])) <= token_ids.LONGEST + 1
+
+
+def test_row_order_is_the_order_written(spark, tmp_path):
+    spark.range(1000).withColumn("k", F.xxhash64("id")).orderBy("k").write.parquet(str(tmp_path / "t"))
+    read = spark.read.parquet(str(tmp_path / "t"))
+    got = [r.k for r in read.withColumn("at", token_ids.row_order(read)).orderBy("at").collect()]
+    assert got == sorted(got) and len(got) == 1000
+    assert spark.range(1).select(token_ids.row_order(spark.range(1)).alias("at")).first().at is None
+
+
 def test_token_ids_empty(empty):
     assert token_ids.token_output(empty, tokenizer_path("byte_bpe_50k.json")).collect() == []
 
@@ -130,9 +157,18 @@ def test_language_id_sample_counts_copies_once(spark):
     assert language_id.training_rows(docs, F.lit(True), per_language=5) == sorted(("en", t) for t in ordered[:5])
 
 
+def test_language_id_learns_a_language_of_long_texts_only(spark):
+    """No length and no number of languages keeps one out; a long text is learnt whole."""
+    rows = [(f"l{i:03d}", f"{chr(97 + i % 26)}{chr(97 + i // 26)} " * 9) for i in range(300)] + [("long", "lang text " * 5000), ("long", "lang text " * 4000)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    sample = language_id.training_rows(docs, F.lit(True), per_language=2, max_bytes=1000)
+    assert {x for x, _ in sample} == {x for x, _ in rows}
+    assert [len(t) for x, t in sample if x == "long"] == [40_000]
+
+
 def test_code_length_is_exact(rows):
     """The automaton against a walk through the counts, context by context."""
-    model = language_id.Model([(r[2], r[1]) for r in rows if r[2] and r[1] and len(r[1]) < 2000], min_context=1)
+    model = language_id.Model([(r[2], r[1]) for r in rows if r[2] and r[1] and len(r[1]) < 2000])
     counts = [model._counts([r[1].encode() for r in rows if r[2] == name and r[1] and len(r[1]) < 2000]) for name in model.languages]
 
     def probability(c, context, byte, banned):
@@ -217,6 +253,39 @@ def test_curriculum_follows_its_schedule(spark):
         assert due == pytest.approx(t + 0.5 * (t - t * t), abs=0.01)
 
 
+def test_curriculum_places_each_document_as_often_as_it_is_taken(spark, docs, rows):
+    mix = curriculum.curriculum_mix(docs).collect()
+    wanted = Counter()
+    for r in mix:
+        wanted[r.doc_id] += sum(2 * p.words >= r.size for p in r.placements)
+    mixed = curriculum.mixed_documents(docs).collect()
+    assert Counter(r.doc_id for r in mixed) == +wanted
+    at = sorted((p.position, r.doc_id) for r in mix for p in r.placements if 2 * p.words >= r.size)
+    assert [r.doc_id for r in mixed] == [d for _, d in at]
+
+
+CLASH = "row d s t h d2 s2 t2 p q a b x y node label letter mark lines gone kept pos key line text_hash doc n size rows position positions placements taken target bucket shard ids rid low comp group h1 h2 holder".split()
+
+
+def test_columns_of_any_name_travel_along(spark, rows):
+    """Each operator that returns its input's columns, with a column of each name used inside."""
+    docs = spark.createDataFrame(rows, SCHEMA).drop("label", "node")
+    wide = docs.select("*", *[F.lit(f"c-{c}").alias(c) for c in CLASH])
+    train = F.coalesce(F.col("doc_id") % 4 != 2, F.lit(False))
+    item = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    for f in (
+        lambda x: language_id.identified(x, language_id.fit(x, train)),
+        near_dedup.keep_one,
+        lambda x: decontaminate.decontaminated(x, item),
+        curriculum.mixed_documents,
+        line_dedup.drop_repeated_lines,
+    ):
+        got = f(wide)
+        assert got.columns == wide.columns
+        assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter((r.doc_id, r.text) for r in f(docs).collect())
+        assert all(r[c] == f"c-{c}" for r in got.limit(3).collect() for c in CLASH)
+
+
 def test_viterbi(docs, rows, empty):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -286,14 +355,14 @@ def test_semi_markov_decoding_is_the_best_segmentation():
     def every(lattice, at=0):
         if at == lattice.n:
             yield 0.0
-        for (i, j, *_), s in zip(lattice.segments, crf._scores(lattice), strict=True):
+        for (i, j, *_), s in ((x, crf._score(x)) for x in lattice):
             if i == at:
                 yield from (s + rest for rest in every(lattice, j))
 
     lattice = pii.Lattice("(454) 555-9913", 0, 14)
     got = crf.decode(lattice)
     assert got == [(0, 3, 14)]
-    scores = dict(zip([s[:3] for s in lattice.segments], crf._scores(lattice), strict=True))
+    scores = {x[:3]: crf._score(x) for x in lattice}
     assert scores[0, lattice.n, 3] == pytest.approx(max(every(lattice)))
 
 
@@ -533,6 +602,48 @@ def test_near_dedup_keeps_one(docs, rows, empty):
     assert near_dedup.near_duplicates(empty).collect() == []
 
 
+def test_near_dedup_keeps_rows_that_link_with_nothing(spark):
+    text = "one two three four five six seven"
+    rows = [(None, None), (None, None), (None, ""), (None, " "), (5, text), (5, text), (5, "other words stand here in this row"), (6, text), (None, text), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = [(None, None), (None, None), (None, ""), (None, " "), (5, text), (5, "other words stand here in this row"), (7, None)]
+    same([tuple(r) for r in near_dedup.keep_one(docs).collect()], expected)
+
+
+def test_near_dedup_hot_group_of_near_copies(spark):
+    """One group of many near copies beside documents that share a third of their words with it, in small blocks."""
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        copy = list(words)
+        copy[r.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(copy)))
+    rows += [(1000 + i, " ".join(words[:20] + [f"y{i}-{k}" for k in range(30)])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    same([tuple(x) for x in near_dedup.near_duplicates(docs, block=20).collect()], components(rows))
+
+
+def test_folded():
+    r = np.random.default_rng(2)
+    a, b = r.integers(0, 400, 300), r.integers(0, 400, 300)
+    nodes, label = C.folded(a, b)
+    of = {int(n): int(n) for n in nodes}
+    for _ in range(400):
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            of[x] = of[y] = min(of[x], of[y])
+    assert dict(zip(nodes.tolist(), label.tolist(), strict=True)) == of
+
+
+def test_words_do_not_depend_on_segments(monkeypatch):
+    text = ("Wort wort,x " * 300 + "y" * 900 + " ende").encode()
+    data, offsets = np.frombuffer(text, np.uint8), np.array([0, 100, 100, 2500, len(text)])
+    whole = C.words(data, offsets, C.NOT_SPACE)
+    monkeypatch.setattr(C, "SEGMENT", 64)
+    cut = C.words(data, offsets, C.NOT_SPACE)
+    assert all(np.array_equal(x, y) for x, y in zip(whole, cut, strict=True))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 205)]
     out = {r.node: r.label for r in C.components(spark.createDataFrame(edges, "a long, b long")).collect()}
