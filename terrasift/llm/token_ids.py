@@ -40,6 +40,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -196,30 +197,35 @@ class Encoder:
     def _one_by_one(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def _cuts(self, x: str) -> list[str]:
-        """Pre-tokens of a space and ``x``; the common kinds without the pattern."""
-        if x.isalpha():
-            return [" " + x]
-        if x[-1] in ".," and x[:-1].isalpha():
-            return [" " + x[:-1], x[-1]]
-        return self.cut(" " + x)
-
     def _learn(self, parts: list[str]) -> None:
         """Put the parts, and the words that they are made of, into ``after``."""
         after, known = self.after, self.known
-        plain = [x for x in parts if x.isalpha()]  # one pre-token with the space before it
-        cuts = {x: self._cuts(x) if self._alone(x) else [] for x in parts if not x.isalpha()}
+        # a word, or one before a stop or comma, with the space before it: cut without the pattern
+        plain, tailed, odd = [], [], []
+        for x in parts:
+            if x.isalpha():
+                plain.append(x)
+            elif x[-1:] in (".", ",") and x[:-1].isalpha():
+                tailed.append(x)
+            else:
+                odd.append(x)
+        led = set(plain)
+        led.update([w for w in [x[:-1] for x in tailed] if w not in after])
+        cuts = {x: self.cut(" " + x) if self._alone(x) else [] for x in odd}
         tokens = {t for c in cuts.values() for t in c}
         own = {t for t in tokens if t[0] == " " and self._alone(t[1:])}
-        rest = [t for t in tokens if t not in own and t not in known]
-        led = list(set(plain).union(t[1:] for t in own if t[1:] not in after))
-        after.update(zip(led, self._side_by_side([" " + x for x in led]), strict=True))
+        led.update([t[1:] for t in own if t[1:] not in after])
+        rest = [t for t in {*tokens.difference(own), ".", ","} if t not in known]
+        words = list(led)
+        after.update(zip(words, self._side_by_side([" " + x for x in words]), strict=True))
         known.update(zip(rest, self._one_by_one(rest), strict=True))
+        ends = {c: known[c] for c in ".,"}
+        after.update([(x, after[x[:-1]] + ends[x[-1]]) for x in tailed])
         for x, c in cuts.items():
             if len(c) != 1 or c[0] not in own:
                 after[x] = b"".join([after[t[1:]] if t in own else known[t] for t in c]) if c else False
-        self.passing += [(after, x) for x in led if len(x) > LONGEST] + [(known, t) for t in rest if len(t) > LONGEST]
-        self.passing += [(after, x) for x in cuts if len(x) > LONGEST]
+        self.passing += [(after, x) for x in words if len(x) > LONGEST] + [(known, t) for t in rest if len(t) > LONGEST]
+        self.passing += [(after, x) for x in parts if len(x) > LONGEST]
 
     def _whole(self, text: str) -> bytes:
         """Without cutting at spaces."""
@@ -243,17 +249,19 @@ class Encoder:
         for lo in range(0, len(texts), 512):
             some = texts[lo : lo + 512]
             split = [None if not t or any(a in t for a in self.added) else t.split(" ") for t in some]
-            every = list(set().union(*(x for x in split if x)))
-            here = dict(zip(every, map(self.after.get, every), strict=True))
-            missing = [x for x, ids in here.items() if ids is None]
+            has, missing = self.after.__contains__, set()
+            for x in split:
+                if x:
+                    missing.update(filterfalse(has, x))
+            if missing and len(self.after) + len(missing) > MEMORY:
+                self.older, self.after = self.after, {}
+                missing = set().union(*filter(None, split))
             if missing:
-                if len(self.after) + len(missing) > MEMORY:
-                    self.older, self.after = self.after, {}
                 old = {x: ids for x in missing if (ids := self.older.get(x)) is not None}
                 self.after.update(old)
                 if len(old) < len(missing):
                     self._learn([x for x in missing if x not in old])
-                here.update((x, self.after[x]) for x in missing)
+            here = self.after
             if len(self.known) > MEMORY:
                 self.known.clear()
             get = here.__getitem__
