@@ -10,6 +10,11 @@ MMU = 8000.0
 STAGE_LABELS = {0: "no construction", 5: "site clearing", 10: "grading and levelling", 15: "foundation work"}
 
 
+def fixed(value: Column, places: int, grouped: bool = False) -> Column:
+    """A number as text with so many places, halves to even."""
+    return F.format_string(f"%{',' if grouped else ''}.{places}f", F.bround(value.cast("double"), places))
+
+
 def foundation_signals(d: DataFrame) -> dict[str, Column]:
     """Seven signals, each false where its input is unknown."""
     f = lambda c: F.coalesce(c, F.lit(False))
@@ -117,7 +122,7 @@ def plan_candidates(plans: DataFrame, looks: DataFrame, policy: str = "strict",
     (the first refusal, where no plan is usable).
     """
     why = plan_refusal(F.col("obs_date"), policy)
-    residual = F.format_string("%.1f", "residual")
+    residual = fixed(F.col("residual"), 1)
     each = looks.join(plans, "uid").withColumn(
         "refused",
         F.when(why.isNotNull(), F.struct(why.alias("why"), F.lit("temporal leakage").alias("kind")))
@@ -195,7 +200,7 @@ def resolve_aoi(
     A level is refused for unusable geometry and for lying more than ``far_m`` from the point, never for its size.
     Adds coordinate_quality, aoi_source, buffer_m, point_sizes_m, point_offset_m, needs_tiling, warnings, fallback_reason, deductions, quality.
     """
-    metres = lambda c: F.format_string("%.0f", c.cast("double"))
+    metres = lambda c: fixed(c, 0)
     has_point = F.col("lat").isNotNull()
     none = F.array().cast("array<string>")
     if with_plans:
@@ -220,7 +225,7 @@ def resolve_aoi(
     )
     away = F.when(off > far_m, F.concat(F.lit("point "), metres(off), F.lit(" m outside the parcel — not the same place")))
     large = F.concat(
-        F.lit("parcel is large ("), F.format_string("%,.0f", ha), F.lit(" ha): an 8,000 m2 event is "), F.format_string("%.3f", F.lit(8000.0) / F.col("parcel_m2") * 100),
+        F.lit("parcel is large ("), fixed(ha, 0, True), F.lit(" ha): an 8,000 m2 event is "), fixed(F.lit(8000.0) / F.col("parcel_m2") * 100, 3),
         F.lit("% of it — use the tiled component search, never the parcel mean"),
     )
     parcel_notes = F.array_compact(

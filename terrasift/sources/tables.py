@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrasift.functions.periods import lenient_date, ordinal_of_date, ordinal_of_name, period_name
+from terrasift.operators.rules import fixed
 
 SERIES_SCHEMA = (
     "site struct<uid:string,name:string>, tau double, series array<struct<period:string,n_valid:int,valid_frac:double,clear_frac:double,rmse:double,"
@@ -146,8 +147,8 @@ def build_sites(
         s = s.join(parcels.select("uid", "n_parcels", "parcel_m2"), "uid", "left").withColumn("n_parcels", F.coalesce("n_parcels", F.lit(0).cast("long")))
     m2 = F.col("parcel_m2")
     why = (
-        F.when(m2 > most, F.concat(F.lit("parcel "), F.format_string("%.1f", m2 / 1e6), F.lit(f" km2 > {most / 1e6} km2")))
-        .when(m2 < least, F.concat(F.lit("parcel "), F.format_string("%.0f", m2), F.lit(f" m2 < {least:.0f} m2")))
+        F.when(m2 > most, F.concat(F.lit("parcel "), fixed(m2 / 1e6, 1), F.lit(f" km2 > {most / 1e6} km2")))
+        .when(m2 < least, F.concat(F.lit("parcel "), fixed(m2, 0), F.lit(f" m2 < {least:.0f} m2")))
     )
     s = s.withColumn("reject_reason", F.when(F.col("n_parcels") > 0, why))
     source = F.when(F.col("reject_reason").isNotNull(), "box_parcel_rejected").when(F.col("n_parcels") > 1, "parcel_union").when(F.col("n_parcels") == 1, "parcel").otherwise("box_no_parcel")
