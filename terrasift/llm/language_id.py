@@ -40,6 +40,8 @@ from terrasift.llm import _common as C
 
 ORDER, STRETCH = 3, 512
 PER_LANGUAGE, MAX_BYTES = 64, 16_384
+#: Shares that the rows of a language are ranked in before they are ranked together.
+SHARES = 32
 #: A text that costs more bits a byte than this (raw bytes cost 8) in every language is in none of them.
 REJECT_BITS = 12.0
 
@@ -51,6 +53,9 @@ def training_rows(docs: DataFrame, train: Column, per_language: int = PER_LANGUA
     known = known.where(F.col("text").rlike(r"\p{L}"))
     size = F.octet_length("text")
     marked = known.select("lang", F.greatest(size, F.lit(max_bytes)).alias("over"), F.xxhash64("text").alias("h"), size.alias("size")).distinct()
+    # a language may hold a third of all rows: the first of each of its shares, then the first of those
+    share = Window.partitionBy("lang", F.pmod("h", F.lit(SHARES))).orderBy("over", "h")
+    marked = marked.withColumn("rank", F.row_number().over(share)).where(F.col("rank") <= per_language)
     first = Window.partitionBy("lang").orderBy("over", "h")
     ranked = marked.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_language)
     so_far = F.sum("size").over(first.rowsBetween(Window.unboundedPreceding, -1))
