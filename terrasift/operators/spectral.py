@@ -158,12 +158,13 @@ def trimmed(pool: DataFrame, q: float = 0.005, least: int = 1000) -> DataFrame:
     return pool.join(F.broadcast(limits)).where((F.col("_n") <= least) | inside).select(*pool.columns)
 
 
-def sampled(pixels: DataFrame, per_period: int = 4000, per_site: int = 60_000, seed: int = 0) -> DataFrame:
-    """A seeded sample without replacement: at most so many pixels a site period and a site."""
-    order = F.xxhash64(F.lit(seed), "uid", "ord", "y", "x")
-    a = pixels.withColumn("_h", order).withColumn("_k", F.row_number().over(Window.partitionBy("uid", "ord").orderBy("_h"))).where(F.col("_k") <= per_period)
-    b = a.withColumn("_k", F.row_number().over(Window.partitionBy("uid").orderBy("_h"))).where(F.col("_k") <= per_site)
-    return b.drop("_h", "_k")
+def sampled(pixels: DataFrame, per_period: int | None = 4000, per_site: int | None = 60_000, seed: int = 0) -> DataFrame:
+    """A seeded sample without replacement: at most so many pixels a site period and a site (None: all)."""
+    d = pixels.withColumn("_h", F.xxhash64(F.lit(seed), "uid", "ord", "y", "x"))
+    for keys, most in ((("uid", "ord"), per_period), (("uid",), per_site)):
+        if most is not None:
+            d = d.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("_h"))).where(F.col("_k") <= most).drop("_k")
+    return d.drop("_h")
 
 
 #: Spectra that the search for corners holds, of all sites together: the model is fitted on this bounded sample.

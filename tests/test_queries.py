@@ -70,3 +70,23 @@ def test_study_parameters_are_those_of_the_reference(spark, monkeypatch):
     whole = bindings.pixels(spark, FOLDER)
     assert whole.groupBy("uid").count().agg({"count": "max"}).first()[0] <= 4000
     assert QUERIES["pixel_sample"](spark, FOLDER).count() == whole.count()
+
+
+def test_pixel_sample_is_its_sql_beyond_the_bounds(spark, tmp_path):
+    """Sites of more than 4000 and of more than 60,000 pixels come whole; the sample itself keeps its bounds."""
+    from pyspark.sql import functions as F
+
+    from terrasift.operators import spectral as S
+
+    label = F.when(F.col("id") < 60_500, 1).when(F.col("id") < 65_000, 2).otherwise(None).cast("int")
+    values = F.array(*[F.lit(0.5).cast("float")] * 6)
+    spark.range(65_100).select(F.col("id").alias("vec_id"), values.alias("embedding"), label.alias("label")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    got = QUERIES["pixel_sample"](spark, str(tmp_path)).select("uid", "pix").collect()
+    assert len(got) == 65_100
+    assert rows(["uid", "pix"], got) == rows(["uid", "pix"], c.sql(ORACLE["pixel_sample"]).fetchall())
+    p = bindings.pixels(spark, str(tmp_path)).withColumns({"ord": F.col("pix") % 16, "y": F.col("pix"), "x": F.lit(0)})
+    sizes = {r.uid: r["count"] for r in S.sampled(p, 3000, 40_000).groupBy("uid").count().collect()}
+    assert sizes == {1: 40_000, 2: 4500, None: 100}
+    assert max(r["count"] for r in S.sampled(p, 3000, None).groupBy("uid", "ord").count().collect()) == 3000
