@@ -442,10 +442,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     stay = stay.select("label", F.col("s.doc_id").alias("d"), F.col("s.text_hash").alias("h"), F.col("s.times").alias("times"))
     mine = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))
     gone = rows.join(stay, "label").where(~mine).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).distinct()
-    again = stay.where("times > 1").select("d", "h")
+    again = C.materialize(stay.where("times > 1").select("d", "h"), "again")
     # extra columns travel in one struct, so that no name of theirs can clash
     whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").isNull().alias("no_text"))
-    marks = gone.withColumn("mark", F.lit(1)).unionByName(again.withColumn("mark", F.lit(2)))
-    marked = whole.join(marks, mine & ~F.col("no_text"), "left").where("mark is null or mark = 2")
-    single = marked.where("mark is null").select("row")
-    return single.unionAll(marked.where("mark = 2").dropDuplicates(["doc_id", "text_hash"]).select("row")).select("row.*")
+    own = mine & ~F.col("no_text")
+    single = whole.join(gone.unionAll(again), own, "left_anti").select("row")
+    if again.isEmpty():  # no row repeats another: whole rows are dealt once
+        return single.select("row.*")
+    return single.unionAll(whole.join(again, own).dropDuplicates(["doc_id", "text_hash"]).select("row")).select("row.*")

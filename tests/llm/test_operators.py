@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -610,6 +611,33 @@ def test_near_dedup_keeps_rows_that_link_with_nothing(spark):
     same([tuple(r) for r in near_dedup.keep_one(docs).collect()], expected)
 
 
+def test_near_dedup_deals_whole_rows_once(spark):
+    """Where no row repeats another, the texts that stay pass one shuffle."""
+    text = "one two three four five six seven"
+    rows = [(None, None), (1, text), (2, text), (2, "other words stand here in this row"), (None, text), (3, " ")]
+    kept = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count(" AS row#") == 1
+    same([tuple(r) for r in kept.collect()], [(None, None), (1, text), (2, "other words stand here in this row"), (3, " ")])
+
+
+def test_materialize_leaves_no_shuffle_files(spark):
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def left():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(k).getName() for k in range(files.size())}
+
+    before, as_set = left(), spark.conf.get(cleanup)
+    made = C.materialize(spark.range(5000).repartition(3, "id").groupBy(F.col("id") % 7).count())
+    for _ in range(40):
+        if not (new := [x for x in left() - before if x.startswith("shuffle_")]):
+            break
+        time.sleep(0.1)
+    assert not new
+    assert spark.conf.get(cleanup) == as_set
+    assert made.agg(F.sum("count")).first()[0] == 5000
+
+
 def test_near_dedup_hot_group_of_near_copies(spark):
     """One group of many near copies beside documents that share a third of their words with it, in small blocks."""
     r = random.Random(4)
